@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estuary.llm import chat, html, packing, pii, quality, simhash
+from estuary.llm import chat, decontaminate, html, licenses, lines, packing, pii, quality, simhash, training_order
 from estuary.session import table
 
 
@@ -13,6 +13,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.unionByName(chat.hostile_conversation(spark)))
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialised(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -21,20 +25,35 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bad_score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removal_digest(lines.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_pii, op4_packing, op6_quality_rules, op8_simhash_near_dedup, op10_html_extraction)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_formatting, op2_training_order, op3_pii, op4_packing, op5_decontamination, op6_quality_rules, op7_line_dedup, op8_simhash_near_dedup, op9_license_scan, op10_html_extraction)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": r"""
@@ -53,4 +72,17 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(4 + length(role) + 2 + body + 8) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """,
+    "op7_line_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+u AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+w AS (SELECT *, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words,
+    coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
+m AS (SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, r, i) > 1 AS gone FROM w)
+SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (gone), '') AS removed,
+  length(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id, r
+""",
+    "op9_license_scan": licenses.oracle(),
 }
