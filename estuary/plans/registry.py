@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from estuary.plans import q_extract
+
+MODULES = (q_extract,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
