@@ -133,7 +133,7 @@ def layer_volume(nodes: DataFrame, elements: DataFrame, sigma: DataFrame, surfac
     return surface.join(still, "node_id").withColumn("volume", F.col("volume") * (1 + F.col("zeta") / F.col("h"))).drop("area", "dz", "h")
 
 
-def shortest_path(nodes: DataFrame, elements: DataFrame, start: int, goal: int, reverse: bool = False, rounds_at_once: int = 6) -> DataFrame:
+def shortest_path(nodes: DataFrame, elements: DataFrame, start: int, goal: int, reverse: bool = False, rounds_at_once: int = 4) -> DataFrame:
     """(seq, ele_id): the element path from start to goal with the least sum of centre distances.
 
     Relaxation over the edge list: several rounds make one job, then the distances are written to the shared folder;

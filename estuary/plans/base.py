@@ -47,7 +47,7 @@ class Book:
             name = fn.__name__
             self.queries[name] = run
             if sql:
-                swaps = [f"round(CAST({c} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {c}" for c, d in digits.items()]
+                swaps = [f'round(CAST("{c}" AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS "{c}"' for c, d in digits.items()]
                 swaps += [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in t.split()]
                 body = sql.strip()
                 wrapped = f"SELECT * REPLACE ({', '.join(swaps)}) FROM (\n{body}\n) q" if swaps else body
@@ -62,6 +62,8 @@ def _with_views(wrapped: str, body: str) -> str:
     if not views:
         return wrapped
     parts = ",\n".join(f"{n} AS ({_plain(testviews.VIEWS[n])})" for n in views)
+    if wrapped.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts},\n{wrapped[15:]}"
     return f"WITH {parts}\n{wrapped}" if not wrapped.upper().startswith("WITH ") else f"WITH {parts},\n{wrapped[5:]}"
 
 

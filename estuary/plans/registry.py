@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estuary.plans import q_extract
+from estuary.plans import q_extract, q_mesh, q_series, q_thresholds
 
-MODULES = (q_extract,)
+MODULES = (q_extract, q_thresholds, q_mesh, q_series)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
