@@ -55,6 +55,11 @@ def mixed(ids: np.ndarray, size: int) -> np.ndarray:
     return np.where(whole, out | np.uint64(1), np.uint64(0))
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values stand in an ordered array, which is not empty."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class ItemWords:
     """The items' words and, for each item length, the shingles of the items that long."""
 
@@ -75,18 +80,18 @@ class ItemWords:
         words = words_of(text)
         if not words:
             return []
-        ids, out = np.fromiter((self.ids.get(w, 0) for w in words), np.uint64, len(words)), []
+        ids, out = np.fromiter(map(self.ids.get, words, itertools.repeat(0)), np.uint64, len(words)), []
         for k, every in self.every.items():
             runs = mixed(ids, k)
             at = np.flatnonzero(runs)
-            at = at[np.isin(runs[at], every)]
+            at = at[among(runs[at], every)]
             if not len(at):
                 continue
             for n, group in self.groups.items():
                 if min(self.shingle, n) != k:
                     continue
                 size = min(n, len(words))
-                shingles, mine = n - k + 1, at[np.isin(runs[at], group)]
+                shingles, mine = n - k + 1, at[among(runs[at], group)]
                 there = size - k + 1
                 least = math.ceil(self.similarity * (shingles + there) / (1 + self.similarity) - 1e-9)
                 if len(mine) < least:
