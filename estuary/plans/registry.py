@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estuary.plans import q_extract, q_mesh, q_series, q_thresholds
+from estuary.plans import q_extract, q_loadings, q_mesh, q_observations, q_series, q_sources, q_thresholds
 
-MODULES = (q_extract, q_thresholds, q_mesh, q_series)
+MODULES = (q_sources, q_extract, q_thresholds, q_mesh, q_series, q_loadings, q_observations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
