@@ -43,7 +43,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
     lengths = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
     for i, n in enumerate(lengths):
-        total += n
+        total += n or 0
         if total >= limit:
             yield batch.slice(start, i + 1 - start)
             start, total = i + 1, 0

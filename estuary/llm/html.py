@@ -16,7 +16,7 @@ MAX_LABELLED = 2000
 #: What a tag costs, in words, that never occurs inside labelled content.
 SCALE = 64.0
 #: Cost share of a tag that no labelled page has, and how many sightings that guess weighs.
-PRIOR, PRIOR_WEIGHT = 0.05, 2.0
+PRIOR, PRIOR_WEIGHT = 0.01, 2.0
 
 # HTML element names.
 RAW = frozenset("script style textarea title".split())

@@ -138,7 +138,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    found = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    return found.union(found.select("root", "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
