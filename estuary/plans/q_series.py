@@ -134,7 +134,7 @@ def b6_truncate_to(v):
     return S.truncate_to(v("v_hourly").select("ts", "v"), v("v_section_flux").where("section = 'error'"))
 
 
-@query(f"WITH {godin_sql('v_hourly', ['v'], 'g')} SELECT ts, v FROM g", r="v", t="ts")
+@query(f"WITH {godin_sql('v_hourly', ['v'], 'g')} SELECT ts, v FROM g", r="v:9", t="ts")
 def b7_godin(v):
     return S.godin(hourly(v), ["v"], ["run"]).select("ts", "v")
 
@@ -156,7 +156,7 @@ def rivers(v):
     return v("v_hourly").select("ts", (F.col("n") / 10.0).alias("q_r"))
 
 
-@query(f"WITH {VOLUME} SELECT * FROM vb", r="dvdt q_in q_out q_r error", t="ts")
+@query(f"WITH {VOLUME} SELECT * FROM vb", r="dvdt:9 q_in:9 q_out:9 q_r:9 error:9", t="ts")
 def b8_volume_budget(v):
     return B.volume_budget(storage(v), exchange(v), rivers(v))
 
@@ -168,7 +168,7 @@ def b9_salt_budget(v):
     return B.salt_budget(storage(v).withColumnRenamed("dvdt", "dsdt"), salt)
 
 
-@query(f"WITH {STORAGE}, base AS (SELECT ts, derivative AS dcdt, q_in, q_r FROM deriv LEFT JOIN ex USING (ts) LEFT JOIN riv USING (ts)), {godin_sql('base', ['dcdt', 'q_in', 'q_r'], 'g')} SELECT *, dcdt - coalesce(q_in, 0) - coalesce(q_r, 0) AS source_sink FROM g WHERE dcdt IS NOT NULL", r="dcdt q_in q_r source_sink", t="ts")
+@query(f"WITH {STORAGE}, base AS (SELECT ts, derivative AS dcdt, q_in, q_r FROM deriv LEFT JOIN ex USING (ts) LEFT JOIN riv USING (ts)), {godin_sql('base', ['dcdt', 'q_in', 'q_r'], 'g')} SELECT *, dcdt - coalesce(q_in, 0) - coalesce(q_r, 0) AS source_sink FROM g WHERE dcdt IS NOT NULL", r="dcdt:9 q_in:9 q_r:9 source_sink:9", t="ts")
 def b10_constituent_budget(v):
     terms = rivers(v).join(exchange(v), "ts", "left").select("ts", "q_in", "q_r")
     return B.constituent_budget(storage(v).withColumnRenamed("dvdt", "dcdt"), terms, ["q_in", "q_r"])
