@@ -172,16 +172,20 @@ def l14_normalize(v):
     return L.normalize(clim(v), ["river"])
 
 
-@query(f"""WITH {CLIM}, norm AS (SELECT river, day, round(discharge / sum(discharge) OVER (PARTITION BY river), 12) AS y, row_number() OVER (PARTITION BY river ORDER BY day) AS i FROM clim WHERE discharge IS NOT NULL),
+PEAKS = f"""{CLIM}, norm AS (SELECT river, day, round(discharge / sum(discharge) OVER (PARTITION BY river), 12) AS y, row_number() OVER (PARTITION BY river ORDER BY day) AS i FROM clim WHERE discharge IS NOT NULL),
 lowest AS (SELECT a.river, a.i, a.day, a.y, (SELECT coalesce(max(b.i), 0) FROM norm b WHERE b.river = a.river AND b.i < a.i AND b.y > a.y) AS lo, (SELECT coalesce(min(b.i), 100000) FROM norm b WHERE b.river = a.river AND b.i > a.i AND b.y > a.y) AS hi FROM norm a),
 pk AS (SELECT p.river, p.day, p.y, p.y - greatest(min(n.y) FILTER (n.i < p.i), min(n.y) FILTER (n.i > p.i)) AS prominence FROM lowest p JOIN norm n ON n.river = p.river AND n.i > p.lo AND n.i < p.hi
-  JOIN norm l ON l.river = p.river AND l.i = p.i - 1 AND l.y < p.y JOIN norm r ON r.river = p.river AND r.i = p.i + 1 AND r.y < p.y GROUP BY p.river, p.day, p.y)
-SELECT river, day, y AS share, prominence FROM pk""", r="share:8 prominence:8")
+  JOIN norm l ON l.river = p.river AND l.i = p.i - 1 AND l.y < p.y JOIN norm r ON r.river = p.river AND r.i = p.i + 1 AND r.y < p.y GROUP BY p.river, p.day, p.y)"""
+
+
+@query(f"WITH {PEAKS} SELECT river, day, y AS share, prominence FROM pk", r="share:8 prominence:8")
 def l15_peaks(v):
     return L.peaks(L.normalize(clim(v), ["river"]).withColumn("share", F.round("share", 12)), ["river"])
 
 
-@query()
+@query(f"""WITH {PEAKS}, big AS (SELECT *, row_number() OVER (PARTITION BY river ORDER BY y DESC) AS k FROM pk WHERE prominence >= 0.0008),
+f AS (SELECT river, CAST(max(day) - 1 AS INTEGER) AS last_peak, count(*) AS n, max(y) FILTER (k = 2) AS second FROM big GROUP BY river)
+SELECT river, CASE WHEN last_peak < 200 THEN 'Rain-dominated' WHEN n = 1 OR second < 0.003 THEN 'Snow' WHEN n > 1 THEN 'Rain-snow Mix' END AS class, last_peak FROM (SELECT DISTINCT river FROM clim) LEFT JOIN f USING (river)""")
 def l15_classify_stream(v):
     return L.classify_stream(clim(v), ["river"])
 

@@ -162,7 +162,15 @@ def m17_transect_line(v):
     return M.transect_line(geometry(v))
 
 
-@query()
+SIDES = f"""{GEOMETRY}, bis AS (SELECT *, (nx1 + nx2) / sqrt(pow(nx1 + nx2, 2) + pow(ny1 + ny2, 2)) AS bx, (ny1 + ny2) / sqrt(pow(nx1 + nx2, 2) + pow(ny1 + ny2, 2)) AS bz, coalesce(lag(ele_id) OVER w, 0) AS before, lead(ele_id) OVER w AS after FROM geo WINDOW w AS (PARTITION BY section ORDER BY seq)),
+rim AS (SELECT ele_id, nei_id, unnest([a, b]) AS node_id FROM nei),
+part AS (SELECT section, node_id, ((mx1 - g.x) * (p.y - g.y) - (my1 - g.y) * (p.x - g.x)) / ((mx1 - g.x) * bz - (my1 - g.y) * bx) AS part FROM bis g JOIN rim ON rim.ele_id = g.ele_id AND rim.nei_id = g.before JOIN v_mesh_node p USING (node_id)),
+placed AS (SELECT DISTINCT section, node_id, part > 0 AS upstream FROM part WHERE abs(part) > 1e-12),
+ending AS (SELECT section, node_id FROM bis g JOIN rim ON rim.ele_id = g.ele_id AND rim.nei_id = 0 WHERE after IS NULL),
+sides AS (SELECT * FROM placed UNION SELECT e.section, e.node_id, NOT k.upstream FROM ending e JOIN (SELECT section, upstream FROM ending JOIN placed USING (section, node_id)) k USING (section) WHERE NOT EXISTS (FROM placed q WHERE q.section = e.section AND q.node_id = e.node_id))"""
+
+
+@query(f"WITH {SIDES} SELECT * FROM sides")
 def m15_transect_sides(v):
     return M.transect_sides(v("v_mesh_node"), v("v_mesh_element"), sections(v))
 
@@ -180,7 +188,7 @@ def m19_control_volume(v):
     return M.control_volume(v("v_mesh_node"), v("v_mesh_element"), ends)
 
 
-@query()
+@query(f'WITH {SIDES} SELECT section, bool_and(node_id IN (SELECT node_id FROM v_mesh_node WHERE x < 4500)) AS "into" FROM sides WHERE upstream GROUP BY section')
 def m20_section_direction(v):
     near = v("v_mesh_node").where("x < 4500").select("node_id")
     return M.section_direction(M.transect_sides(v("v_mesh_node"), v("v_mesh_element"), sections(v)), near)
