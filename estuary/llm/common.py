@@ -52,8 +52,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
 
 
 def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most limit rows, the same ones at any partitioning: those whose key has the smallest hash.
+    """At most limit rows, the same ones at any partitioning: those whose key has the smallest hash, then the smallest.
 
     Select few columns first: each task sends its own smallest rows.
     """
-    return df.orderBy(F.xxhash64(key), key).limit(limit)
+    return df.orderBy(F.xxhash64(key), key, *(c for c in df.columns if c != key)).limit(limit)
