@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Gravity, and the coefficients of the model's equation of state, by falling powers.
 GRAVITY = 9.81
+SALT = (6.76786136e-6, -4.8249614e-4, 8.14876577e-1)
+SALT_ENDS = (-0.22584586, 3.895414e-2)
+WARM = (1.667e-8, -8.164e-7, 1.803e-5, 0.0)
+COOL = (-1.0843e-6, 9.8185e-5, -4.786e-3, 1.0)
+COLDEST, SHIFT, SLOPE, POLE = 3.98, 283.0, 503.57, 67.26
 
 
 def sigma_layers(spark: SparkSession, kb: int, power: float = 1.5) -> DataFrame:
@@ -17,15 +23,16 @@ def sigma_layers(spark: SparkSession, kb: int, power: float = 1.5) -> DataFrame:
     return bounds.select("*", ((F.col("z_top") + F.col("z_bot")) / 2).alias("zz"), (F.col("z_top") - F.col("z_bot")).alias("dz"))
 
 
-def density(t: Column, s: Column) -> Column:
-    """Sigma-t of temperature and salinity.
+def cubic(x, coefficients):
+    """A cubic by falling powers, for columns and numbers alike."""
+    a, b, c, d = coefficients
+    return ((a * x + b) * x + c) * x + d
 
-    The coefficients are those of the model's equation of state, fixed values.
-    """
-    salt = lambda last: 6.76786136e-6 * F.pow(s, 3) - 4.8249614e-4 * F.pow(s, 2) + 8.14876577e-1 * s + last
-    warm = 1.667e-8 * F.pow(t, 3) - 8.164e-7 * F.pow(t, 2) + 1.803e-5 * t
-    cool = 1 - 1.0843e-6 * F.pow(t, 3) + 9.8185e-5 * F.pow(t, 2) - 4.786e-3 * t
-    return (salt(-0.22584586) * warm + cool) * salt(3.895414e-2) - F.pow(t - 3.98, 2) * (t + 283) / (503.57 * (t + 67.26))
+
+def density(t: Column, s: Column) -> Column:
+    """Sigma-t of temperature and salinity, by the model's equation of state."""
+    first, second = (cubic(s, (*SALT, end)) for end in SALT_ENDS)
+    return (first * cubic(t, WARM) + cubic(t, COOL)) * second - F.pow(t - COLDEST, 2) * (t + SHIFT) / (SLOPE * (t + POLE))
 
 
 def with_density(field: DataFrame, scale: float = 1.0) -> DataFrame:

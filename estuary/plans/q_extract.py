@@ -20,7 +20,15 @@ LAYERS = 10
 SIGMA = """sigma AS (SELECT layer, z_top, z_bot, (z_top + z_bot) / 2 AS zz, z_top - z_bot AS dz FROM (
   SELECT CAST(k AS INTEGER) AS layer, -pow((k - 1) / 10.0, 1.5) AS z_top, -pow(k / 10.0, 1.5) AS z_bot FROM range(1, 11) r(k)) s0)"""
 CV = "cv AS (SELECT node_id FROM v_mesh_node WHERE x < 6000)"
-DENSITY = "(((6.76786136e-6*pow({s},3) - 4.8249614e-4*pow({s},2) + 8.14876577e-1*{s} - 0.22584586) * (1.667e-8*pow({t},3) - 8.164e-7*pow({t},2) + 1.803e-5*{t}) + 1 - 1.0843e-6*pow({t},3) + 9.8185e-5*pow({t},2) - 4.786e-3*{t}) * (6.76786136e-6*pow({s},3) - 4.8249614e-4*pow({s},2) + 8.14876577e-1*{s} + 3.895414e-2) - pow({t} - 3.98, 2) * ({t} + 283) / (503.57 * ({t} + 67.26)))".format(t="temp", s="salinity")
+
+
+def cubic_sql(x: str, coefficients: tuple) -> str:
+    return " + ".join(f"({c!r}) * pow({x}, {3 - i})" for i, c in enumerate(coefficients))
+
+
+DENSITY = "((({first}) * ({warm}) + {cool}) * ({second}) - pow(temp - {coldest}, 2) * (temp + {shift}) / ({slope} * (temp + {pole})))".format(
+    first=cubic_sql("salinity", (*N.SALT, N.SALT_ENDS[0])), second=cubic_sql("salinity", (*N.SALT, N.SALT_ENDS[1])), warm=cubic_sql("temp", N.WARM), cool=cubic_sql("temp", N.COOL), coldest=N.COLDEST, shift=N.SHIFT, slope=N.SLOPE, pole=N.POLE
+)
 
 
 def cv(v):
