@@ -12,6 +12,8 @@ from estuary.llm.common import keyed_texts, slices
 from estuary.session import written
 
 LEAST_WORDS = 5
+#: Parts that a line's occurrences are dealt to.
+SALTS = 64
 
 
 def units(rows: DataFrame, least_words: int) -> DataFrame:
@@ -49,16 +51,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each document: doc_id, text (the kept lines), removed (start and stop of the lines taken out) and n_removed.
 
     A line goes if an equal one stands earlier: in a document of smaller id, or before it in the same document. Lines
-    of fewer words always stay. Only digests and offsets are grouped, with partial sums before the shuffle, so a line
-    in a third of all documents costs one row per task there; its occurrences then join the single kept one, and
-    adaptive execution splits that join where one key is large. Null or empty text: empty, nothing removed. Rows that
+    of fewer words always stay. Only digests and offsets are grouped. Occurrences are dealt to SALTS parts by their
+    row: each part finds its own first, these few give the first of all, and every part's occurrences join that one
+    row, so that a line in a third of all documents is spread over as many tasks as there are parts.
+    Null or empty text: empty, nothing removed. Rows that
     repeat an id count as separate documents in file order. Null ids come first. Empty table: no rows.
     """
     rows = written(keyed_texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lines-rows")
-    found = written(units(rows, least_words), "lines-units")
+    found = written(units(rows, least_words).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")), "lines-units")
     place = F.struct("id", "row", "start")
-    first = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = found.join(first, ["high", "low"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    parts = found.groupBy("high", "low", "salt").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    first = parts.groupBy("high", "low").agg(F.min("place").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    told = parts.join(first, ["high", "low"]).select("high", "low", "salt", "first")
+    again = found.join(told, ["high", "low", "salt"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     gone = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     marked = rows.join(gone, "row", "left").select(F.col("id").alias("doc_id"), "text", F.coalesce("removed", none).alias("removed"))
