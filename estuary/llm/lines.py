@@ -1,7 +1,9 @@
-"""Substring dedup by line hashing: one copy of each normalised line stays, the earliest; the offsets of the rest are kept."""
+"""Substring dedup by hashing lines and sentences: one copy of each normalised unit stays, the earliest; the offsets of the rest are kept."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,79 +14,112 @@ from estuary.llm.common import keyed_texts, slices
 from estuary.session import written
 
 LEAST_WORDS = 5
-#: Parts that a line's occurrences are dealt to.
+#: Words of a sentence inside a line. Sentences of fewer coincide in unrelated documents.
+LEAST_SENTENCE = 8
+#: Units with more than one in so many of all repeated occurrences are hot: at most so many units are.
+HOT_SHARE = 1000
+#: Parts that a hot unit's occurrences are dealt to.
 SALTS = 64
 
+#: A sentence of a line with the marks that end it. The parts join to the line.
+SENTENCE = re.compile(r"[^.!?]+[.!?]*|[.!?]+")
+
 
-def units(rows: DataFrame, least_words: int) -> DataFrame:
-    """(row, id, start, stop, high, low): the lines of at least so many words, in code points, with a 128-bit digest.
+def units_of(text: str, least_words: int = LEAST_WORDS, least_sentence: int = LEAST_SENTENCE):
+    """(start, stop, words) of the units of a text in order, in code points: a line, then the sentences within it.
 
-    Lines are compared in lower case with single spaces between words.
+    Words are in lower case with single spaces. A sentence that is all of its line is no unit of its own.
     """
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "stop", "high", "low"))])
+    at = 0
+    for line in text.split("\n"):
+        words = line.lower().encode().split()
+        if len(words) >= least_words:
+            yield at, at + len(line), b" ".join(words)
+        if len(words) > least_sentence:
+            for m in SENTENCE.finditer(line):
+                part = m[0].lower().encode().split()
+                if least_sentence <= len(part) < len(words):
+                    yield at + m.start(), at + m.end(), b" ".join(part)
+        at += len(line) + 1
+
+
+def units(rows: DataFrame, least_words: int, least_sentence: int) -> DataFrame:
+    """(row, id, unit, high, low): the units of every text by number, with a 128-bit digest."""
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("unit", "high", "low"))])
 
     def split(batches):
         import xxhash
 
         for whole in batches:
-            for batch in slices(whole, limit=16 << 20):
-                source, starts, stops, digests = [], [], [], []
+            for batch in slices(whole):
+                source, numbers, digests = [], [], []
                 for row, text in enumerate(batch.column("text").to_pylist()):
-                    at = 0
-                    for line in text.split("\n"):
-                        words = line.lower().encode().split()
-                        if len(words) >= least_words:
-                            source.append(row)
-                            starts.append(at)
-                            stops.append(at + len(line))
-                            digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                        at += len(line) + 1
+                    mine = [xxhash.xxh3_128_digest(words) for _, _, words in units_of(text, least_words, least_sentence)]
+                    source += [row] * len(mine)
+                    numbers += range(len(mine))
+                    digests += mine
                 pair = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 take = pa.array(source, pa.int64())
-                columns = [batch.column("row").take(take), batch.column("id").take(take), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(take), batch.column("id").take(take), pa.array(numbers, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=schema.names)
 
     return rows.select("row", "id", "text").mapInArrow(split, schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row for each document: doc_id, text (the kept lines), removed (start and stop of the lines taken out) and n_removed.
-
-    A line goes if an equal one stands earlier: in a document of smaller id, or before it in the same document. Lines
-    of fewer words always stay. Only digests and offsets are grouped. Occurrences are dealt to SALTS parts by their
-    row: each part finds its own first, these few give the first of all, and every part's occurrences join that one
-    row, so that a line in a third of all documents is spread over as many tasks as there are parts.
-    Null or empty text: empty, nothing removed. Rows that
-    repeat an id count as separate documents in file order. Null ids come first. Empty table: no rows.
+def cut_text(text: str, gone: set[int], least_words: int, least_sentence: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the units of these numbers, and the spans taken out; a line goes with its line end."""
+    spans: list[tuple[int, int]] = []
+    for number, (start, stop, _) in enumerate(units_of(text, least_words, least_sentence)):
+        if number in gone and not (spans and start < spans[-1][1]):
+            spans.append((start, stop))
+    kept, at, k = [], 0, 0
+    for line in text.split("\n"):
+        end, pieces, begin, whole = at + len(line), [], at, False
+        while k < len(spans) and spans[k][1] <= end:
+            whole = spans[k] == (at, end)
+            pieces.append(text[begin : spans[k][0]])
+            begin, k = spans[k][1], k + 1
+        if not whole:
+            kept.append("".join(pieces) + text[begin:end])
+        at = end + 1
+    return "\n".join(kept), spans
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, least_sentence: int = LEAST_SENTENCE) -> DataFrame:
+    """One row for each document: doc_id, text (what stays), removed (start and stop of what goes) and n_removed.
+
+    A line of least_words or more, or a sentence of least_sentence or more inside a line, goes if an equal unit stands
+    earlier: in a document of smaller id, or before it in the same document. Sentences catch passages that stand in
+    the middle of different lines. Shorter units always stay.
+
+    Only digests and offsets are grouped: each task sends one row for a digest, then every occurrence joins the first
+    place of its digest. Digests that make up over a thousandth of the repeated occurrences, so under a thousand, have
+    their occurrences dealt to SALTS parts in that join. Null or empty text: empty, nothing removed. Rows that repeat
+    an id count as separate documents in file order. Null ids come first. Empty table: no rows.
     """
     rows = written(keyed_texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lines-rows")
-    found = written(units(rows, least_words).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")), "lines-units")
-    place = F.struct("id", "row", "start")
-    parts = found.groupBy("high", "low", "salt").agg(F.min(place).alias("place"), F.count("*").alias("n"))
-    first = parts.groupBy("high", "low").agg(F.min("place").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    told = parts.join(first, ["high", "low"]).select("high", "low", "salt", "first")
-    again = found.join(told, ["high", "low", "salt"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
-    gone = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    marked = rows.join(gone, "row", "left").select(F.col("id").alias("doc_id"), "text", F.coalesce("removed", none).alias("removed"))
+    found = units(rows, least_words, least_sentence)
+    places = found.groupBy("high", "low").agg(F.min(F.struct("id", "row", "unit")).alias("place"), F.count("*").alias("n"))
+    first = written(places.where("n > 1").select("high", "low", F.col("place.row").alias("first_row"), F.col("place.unit").alias("first_unit"), "n"), "lines-first")
+    often = first.agg((F.sum("n") / HOT_SHARE).alias("often"))
+    hot = first.join(F.broadcast(often), F.col("n") > F.col("often")).select("high", "low", F.lit(SALTS).alias("salts"))
+    dealt = found.drop("id").join(F.broadcast(hot), ["high", "low"], "left")  # under HOT_SHARE rows
+    salted = dealt.withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    parts = first.join(F.broadcast(hot), ["high", "low"], "left").select("high", "low", "first_row", "first_unit", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    again = salted.join(parts, ["high", "low", "salt"]).where("row <> first_row or unit <> first_unit")
+    gone = again.groupBy("row").agg(F.collect_list(F.col("unit").cast("int")).alias("gone"))
+    marked = rows.join(gone, "row", "left").select(F.col("id").alias("doc_id"), "text", "gone")
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+    schema = T.StructType([marked.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("removed", span)])
+    arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, limit=16 << 20):
-                texts = []
-                for text, spans in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
-                    if spans:
-                        starts = {s["start"] for s in spans}
-                        kept, at = [], 0
-                        for line in text.split("\n"):
-                            if at not in starts or not line:
-                                kept.append(line)
-                            at += len(line) + 1
-                        text = "\n".join(kept)
-                    texts.append(text)
-                yield batch.set_column(1, "text", pa.array(texts, pa.string()))
-
-    return marked.mapInArrow(cut, marked.schema).withColumn("n_removed", F.size("removed").cast("long"))
+            for batch in slices(whole):
+                results = [cut_text(text, set(gone), least_words, least_sentence) if gone else (text, []) for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+                removed = [[{"start": a, "stop": b} for a, b in spans] for _, spans in results]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([text for text, _ in results], pa.string()), pa.array(removed, arrow_span)], names=schema.names)
+
+    return marked.mapInArrow(cut, schema).withColumn("n_removed", F.size("removed").cast("long"))
 
 
 def removal_digest(deduped: DataFrame) -> DataFrame:

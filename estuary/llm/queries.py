@@ -76,13 +76,23 @@ FROM sized GROUP BY conv_id
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 u AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
 w AS (SELECT *, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
-m AS (SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, r, i) > 1 AS gone FROM w)
-SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-  coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (gone), '') AS removed,
-  length(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_chars,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id, r
+    CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM u),
+p AS (SELECT doc_id, r, i, len(words) AS n, regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+') AS parts FROM w WHERE len(words) > 8),
+q AS (SELECT doc_id, r, i, n, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS j FROM p),
+s AS (SELECT *, CAST(sum(length(part)) OVER (PARTITION BY r, i ORDER BY j) AS BIGINT) AS stop, regexp_extract_all(lower(part), '[^\x20\x09-\x0D]+') AS words FROM q),
+k AS (SELECT doc_id, r, i, 0 AS j, words FROM w WHERE len(words) >= 5
+  UNION ALL SELECT doc_id, r, i, j, words FROM s WHERE len(words) >= 8 AND len(words) < n),
+m AS (SELECT r, i, j, row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, r, i, j) > 1 AS gone FROM k),
+l AS (SELECT w.*, coalesce(m.gone, false) AS gone FROM w LEFT JOIN m ON m.r = w.r AND m.i = w.i AND m.j = 0),
+t AS (SELECT s.*, coalesce(m.gone, false) AS gone FROM s LEFT JOIN m ON m.r = s.r AND m.i = s.i AND m.j = s.j),
+c AS (SELECT r, i, coalesce(string_agg(part, '' ORDER BY j) FILTER (NOT gone), '') AS rest FROM t GROUP BY r, i),
+x AS (SELECT r, start AS a, start + length(line) AS b FROM l WHERE gone
+  UNION ALL SELECT t.r, l.start + t.stop - length(t.part), l.start + t.stop FROM t JOIN l ON l.r = t.r AND l.i = t.i WHERE t.gone AND NOT l.gone),
+y AS (SELECT r, count(*) AS n, string_agg(CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR), ',' ORDER BY a) AS spans FROM x GROUP BY r),
+z AS (SELECT l.doc_id, l.r, coalesce(string_agg(coalesce(c.rest, l.line), chr(10) ORDER BY l.i) FILTER (NOT l.gone), '') AS kept
+  FROM l LEFT JOIN c ON c.r = l.r AND c.i = l.i GROUP BY l.doc_id, l.r)
+SELECT z.doc_id, coalesce(y.n, 0) AS n_removed, coalesce(y.spans, '') AS removed, length(z.kept) AS kept_chars, sha256(z.kept) AS kept_sha256
+FROM z LEFT JOIN y ON y.r = z.r
 """,
     "op9_license_scan": licenses.oracle(),
 }

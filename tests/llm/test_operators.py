@@ -293,6 +293,25 @@ def test_lines_of_odd_documents(odd_docs):
     assert {r.text for r in out if r.doc_id in (2, 3)} == {""}
 
 
+def test_passages_inside_different_lines(spark):
+    passage = "Here are nine words that all stand in order. Then come eight more words that also repeat! And so on"
+    rows = [(2, f"First some text of its own. {passage} and other things.\nLast."), (1, f"Quite another beginning {passage}, elsewhere."), (3, "Then come eight more words that also repeat!")]
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].text == rows[1][1] and out[3].text == ""
+    assert out[2].text == rows[0][1].replace(" Then come eight more words that also repeat!", "")
+    for k, text in ((r[0], r[1]) for r in rows):
+        for start, stop in out[k].removed:
+            assert text[start:stop] in (" Then come eight more words that also repeat!", "Then come eight more words that also repeat!")
+
+
+@given(st.lists(st.sampled_from(["a b c d e", "a b c d e f g h", ". ", "\n", "x", "! "]), max_size=14).map("".join), st.sets(st.integers(0, 9)))
+def test_cutting_keeps_all_but_the_spans(text, gone):
+    kept, spans = lines.cut_text(text, gone, 5, 8)
+    taken = "".join(text[a:b] for a, b in spans)
+    assert sorted(kept.replace("\n", "") + taken.replace("\n", "")) == sorted(text.replace("\n", ""))
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_every_template_needs_an_anchor():
     chosen = licenses.anchors(licenses.TEMPLATES, 5, 0.8)
     for text in licenses.TEMPLATES.values():
