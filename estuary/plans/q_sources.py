@@ -13,6 +13,22 @@ query = BOOK.query
 QUERIES, ORACLE_SQL = BOOK.queries, BOOK.oracle
 
 
+@query("""WITH steps AS (SELECT t FROM v_dense3d WHERE layer = 1 GROUP BY t HAVING count(*) = (SELECT max(n_nodes) FROM v_dim))
+SELECT t / 24.0 AS day, CAST(1 AS INTEGER) AS var, node_id, doxg AS value FROM v_dense3d WHERE layer = 1 AND t IN (SELECT t FROM steps)
+UNION ALL SELECT t / 24.0, 2, node_id, temp FROM v_dense3d WHERE layer = 1 AND t IN (SELECT t FROM steps)""", r="day value")
+def s2_scan_history(v):
+    # a block is one time of a whole layer, so the mesh bounds it; the line end is the last character of its last number
+    nodes, header, path = v("v_dim").first()["n_nodes"], 40, scratch(v.spark, "history")
+    number = F.format_string(f"%{history.WIDTH}.6f", F.col("value"))
+    surface = v("v_dense3d").where("layer = 1").select("t", "node_id", F.explode(F.array(*(F.struct(F.lit(k).alias("var"), F.col(c).alias("value")) for k, c in ((1, "doxg"), (2, "temp"))))).alias("x")).select("t", "node_id", "x.*")
+    blocks = surface.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("var", "node_id", number.alias("text")))).alias("numbers")).where(F.size("numbers") == 2 * nodes)
+    head = F.rpad(F.format_string(f"%.8f {history.VERSION} {nodes}", F.col("t") / 24), header, " ")
+    last = F.substring(F.element_at("numbers.text", -1), 2, history.WIDTH - 1)
+    body = F.array_join(F.slice("numbers.text", 1, 2 * nodes - 1), "")
+    blocks.select(F.concat(head, body, last).alias("value")).write.text(path)
+    return history.scan_history(v.spark, path, header, nodes, 2)
+
+
 @query("""WITH hist AS (SELECT layer, t / 24.0 AS day, CAST(2 AS INTEGER) AS var, node_id, doxg AS value FROM v_dense3d UNION ALL SELECT layer, t / 24.0, 3, node_id, temp FROM v_dense3d WHERE layer > 1),
 f AS (SELECT *, min(layer) OVER (PARTITION BY var) AS fl, min(day) OVER (PARTITION BY var) AS fd FROM hist)
 SELECT CASE WHEN var = 2 THEN 'doxg' ELSE 'temp' END AS name, day * 86400 AS seconds, layer, node_id, value FROM f WHERE (var = 2 OR layer = fl) AND (var = 3 OR day = fd)""", r="seconds value")
