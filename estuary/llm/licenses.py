@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -35,6 +36,9 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Notices shorter than a shingle; each counts as one shingle of its own length.
+SHORT_TEMPLATES = {"all-rights-reserved": "All rights reserved."}
+
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -52,7 +56,8 @@ def anchors(templates: dict[str, str], shingle: int, containment: float) -> list
     need = {k: int((1 - containment) * len(s) + 1e-9) + 1 for k, s in shingles.items()}
     chosen: list[str] = []
     while open_ := {k for k, s in shingles.items() if sum(not x.isdisjoint(chosen) for x in s) < need[k]}:
-        gain = Counter(w for k in open_ for s in shingles[k] if s.isdisjoint(chosen) for w in s if len(w) > 4)
+        left = [w for k in open_ for s in shingles[k] if s.isdisjoint(chosen) for w in s]
+        gain = Counter(w for w in left if len(w) > 4) or Counter(left)
         chosen.append(max(gain, key=lambda w: (gain[w] * len(w), w)))
     return chosen
 
@@ -81,13 +86,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     kT + 2T - 1, so any run of T words lies in one. Only documents with an anchor word are split into words, and only
     windows with a shingle of some template that long are hashed: others cannot reach the containment. MinHash bands
     pair windows with templates of their length; a pair counts if the window holds the containment of the template's
-    distinct shingles. The best window is told by its containment, then its first word. Templates are a parameter,
-    each of at least `shingle` words. Null and empty texts match nothing; repeated rows count as one document each;
-    empty table: no rows.
+    distinct shingles. The best window is told by its containment, then its first word. Templates are a parameter; one
+    shorter than `shingle` counts as one shingle of its own length. Null and empty texts match nothing; repeated rows
+    count as one document each; empty table: no rows.
     """
     templates = TEMPLATES if templates is None else templates
-    if any(len(template_words(t)) < shingle for t in templates.values()):
-        raise ValueError("a template needs at least as many words as a shingle")
+    by_size: dict[int, dict[str, str]] = {}
+    for k, t in templates.items():
+        by_size.setdefault(min(shingle, len(template_words(t))), {})[k] = t
+    if 0 in by_size:
+        raise ValueError("a template needs a word")
+    parts = (_scan(docs, id_col, text_col, part, size, containment, bands) for size, part in sorted(by_size.items(), reverse=True))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str], shingle: int, containment: float, bands: int) -> DataFrame:
+    """scan() for templates of at least `shingle` words."""
     spark = docs.sparkSession
     known = template_table(spark, templates, shingle)  # a fixed list: small by construction
     lower = F.lower(F.col("text"))
@@ -132,3 +146,10 @@ SELECT doc_id, license, round(max(containment), 6) AS containment, count(*) AS n
   arg_min(k * words, (-containment, k)) AS first_word
 FROM good GROUP BY doc_id, r, license
 """
+
+
+def oracle_with_short() -> str:
+    """DuckDB SQL for scan() with both lists: oracle() for each length of shingle."""
+    sizes = sorted({len(template_words(t)) for t in SHORT_TEMPLATES.values()})
+    short = [oracle({k: t for k, t in SHORT_TEMPLATES.items() if len(template_words(t)) == n}, n) for n in sizes]
+    return " UNION ALL ".join(f"SELECT * FROM ({sql})" for sql in (oracle(), *short))

@@ -46,13 +46,18 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_all_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_license_scan and the notices shorter than a shingle."""
+    return licenses.scan(table(spark, sf_dir, "documents"), templates=licenses.TEMPLATES | licenses.SHORT_TEMPLATES)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_training_order, op3_pii, op4_packing, op5_decontamination, op6_quality_rules, op7_line_dedup, op8_simhash_near_dedup, op9_license_scan, op10_html_extraction)
+    for f in (op1_chat_formatting, op2_training_order, op3_pii, op4_packing, op5_decontamination, op6_quality_rules, op7_line_dedup, op8_simhash_near_dedup, op9_license_scan, op9_all_notices, op10_html_extraction)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +100,5 @@ SELECT z.doc_id, coalesce(y.n, 0) AS n_removed, coalesce(y.spans, '') AS removed
 FROM z LEFT JOIN y ON y.r = z.r
 """,
     "op9_license_scan": licenses.oracle(),
+    "op9_all_notices": licenses.oracle_with_short(),
 }

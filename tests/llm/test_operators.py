@@ -328,6 +328,15 @@ def test_licences_inside_other_text(spark, odd_docs):
     assert licenses.scan(odd_docs).count() == licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_notices_shorter_than_a_shingle(spark, documents, texts):
+    holds = lambda t: " all rights reserved " in f" {' '.join(licenses.template_words(t))} "
+    got = {r.doc_id for r in licenses.scan(documents, templates=licenses.TEMPLATES | licenses.SHORT_TEMPLATES).collect() if r.license == "all-rights-reserved"}
+    assert got == {k for k, t in texts.items() if holds(t)}
+    docs = spark.createDataFrame([(1, "(c) A. ALL RIGHTS\nRESERVED"), (2, "all rights are reserved"), (3, "x mit y"), (4, "mitten"), (5, None)], "doc_id long, text string")
+    rows = licenses.scan(docs, templates={"r": "All rights reserved.", "m": "MIT"}).collect()
+    assert sorted((r.doc_id, r.license, r.containment, r.first_word) for r in rows) == [(1, "r", 1.0, 0), (3, "m", 1.0, 0)]
+
+
 # personal data
 
 PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
