@@ -373,6 +373,12 @@ def test_redaction_replaces_overlapping_spans_once():
     assert pii.redact_text("mail a.b@c.de now +1 (555) 123-4567.", pii.Model()) == "mail [EMAIL] now [PHONE]."
 
 
+def test_long_and_dotted_secrets_are_proposed_whole():
+    key, run, jwt = "aB3+/_=-" * 40, "0123456789abcdef" * 20, "eyJhbGciOi.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    for text, secret in ((f"api_key={key} end", key), (f"sum {run} end", run), (f"Token: {jwt}. Next", jwt)):
+        assert [text[a:b] for a, kind, b in pii.candidates(text) if kind == 4] == [secret]
+
+
 # pages
 
 
