@@ -379,6 +379,15 @@ def test_long_and_dotted_secrets_are_proposed_whole():
         assert [text[a:b] for a, kind, b in pii.candidates(text) if kind == 4] == [secret]
 
 
+def test_trees_add_forms_that_the_fixed_rules_miss(spark):
+    rows = [(i, f"Order {10_000_000 + 7919 * i} of {i % 28 + 1} items. Write to ann{i}.lee@corp{i % 9}.org or ring +1 ({200 + i % 700}) 555-{1000 + 13 * i % 9000} today. Sum {1_000_003 * i % 89_999_999 + 10_000_000}.") for i in range(600)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {0, 3} <= set(model.thresholds)
+    assert pii.redact_text("Write to bob.ray at firm dot com or ring (212) 555-7788 today.", model) == "Write to [EMAIL] or ring [PHONE] today."
+    plain = "Order 12345678 of 3 items. Sum 87654321."
+    assert pii.redact_text(plain, model) == plain
+
+
 # pages
 
 
