@@ -153,6 +153,11 @@ def station_matrix(series: DataFrame, value: str, layer: int, nodes: list[int],
     return mine.groupBy(time).pivot("node_id", nodes).agg(F.max(value)).withColumnsRenamed({str(n): f"n{n}" for n in nodes})
 
 
+def station_series(series: DataFrame, value: str, layer: int, time: str = "ts") -> DataFrame:
+    """(time, node_id, value) for one layer and variable: all times of all nodes that have values, long."""
+    return series.where((F.col("layer") == layer) & F.col(value).isNotNull()).select(time, "node_id", value)
+
+
 def station_select(series: DataFrame, node: int, columns: list[str]) -> DataFrame:
     """All times and layers of a node."""
     return series.where(F.col("node_id") == node).select("ts", "layer", *columns)

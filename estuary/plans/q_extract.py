@@ -126,6 +126,11 @@ def x14_station_matrix(v):
     return X.station_matrix(v("v_field3d").where("run = 'control'"), "temp", 3, [1, 2, 3])
 
 
+@query("SELECT ts, node_id, temp FROM v_field3d WHERE run = 'control' AND layer = 3 AND temp IS NOT NULL", r="temp", t="ts")
+def x14_station_series(v):
+    return X.station_series(v("v_field3d").where("run = 'control'"), "temp", 3)
+
+
 @query("SELECT ts, layer, temp, doxg FROM v_field3d WHERE node_id = 5", r="temp doxg", t="ts")
 def x15_station_select(v):
     return X.station_select(v("v_field3d"), 5, ["temp", "doxg"])

@@ -278,6 +278,14 @@ def l24_loading_series(v):
     return L.loading_series(v("v_loading"), [1, 2], "nh4")
 
 
+@query(f"""WITH {LOAD}, t AS (SELECT fvcom_id, load, source_type FROM ml JOIN v_source_node USING (fvcom_id)),
+top AS (SELECT DISTINCT source_type, fvcom_id FROM (SELECT source_type, fvcom_id, row_number() OVER (PARTITION BY source_type ORDER BY load DESC, fvcom_id) AS place FROM t) WHERE place <= 5)
+SELECT date, source_type, fvcom_id, sum(discharge * nh4 * 86.4) AS load FROM v_loading JOIN top USING (fvcom_id) GROUP BY date, source_type, fvcom_id""", r="load")
+def l24_top_series(v):
+    typed = loads(v).join(v("v_source_node").select("fvcom_id", "source_type"), "fvcom_id")
+    return L.top_loading_series(v("v_loading"), L.top_sources(typed, 5), "nh4")
+
+
 @query("SELECT date, node_id, 'a' AS side FROM v_loading WHERE node_id % 10 = 0 UNION ALL SELECT date, node_id, 'b' FROM v_loading WHERE node_id % 10 = 1")
 def l25_roundtrip_diff(v):
     rows = v("v_loading").select("date", "node_id")
