@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 
 import pyarrow as pa
@@ -20,46 +21,71 @@ PRIOR, PRIOR_WEIGHT = 0.01, 2.0
 
 # HTML element names.
 RAW = frozenset("script style textarea title".split())
-SKIPPED = frozenset("head script style title noscript template svg math iframe object canvas audio video nav footer header aside form button select menu dialog figure".split())
-BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+SKIPPED = frozenset("head script style title noscript template svg math iframe object canvas audio video nav footer header aside form button select menu dialog".split())
+BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Of the skipped, those that may also hold the whole page or its article.
+WRAPPERS = frozenset("nav footer header aside form menu dialog".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of a class, id or role that mark what is not the article.
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal nav navigation navbar menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus reply replies respond share sharing social related newsletter subscribe signup search login form contentinfo complementary dialog".split())
+#: Hints that hold however large the element is.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: After these a class tells what the page has, not what the element is: has-sidebar, no-comments.
+ABOUT = frozenset("has have no not non with without hide hides show shows".split())
 LABELLED = ("article", "main")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
 _MARK = re.compile(r"class|id|role|aria-hidden|style|hidden", re.I)
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|style|hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?")
 _NAMES = re.compile(r"[a-z]+")
 
 
-def unwanted(name: str, attributes: str) -> bool:
-    """Whether an element is not part of an article by its name, its class, id or role, or because it is hidden."""
-    if name in SKIPPED:
-        return True
-    if name in ("body", "html", *LABELLED) or not attributes or not _MARK.search(attributes):
-        return False
+def hints(value: str) -> set[str]:
+    """The words of a class, id or role that tell what its element is: token by token, none after a word of ABOUT."""
+    out: set[str] = set()
+    for token in value.split():
+        for word in _NAMES.findall(token):
+            if word in ABOUT:
+                break
+            out.add(word)
+    return out & HINTS
+
+
+def unwanted(name: str, attributes: str) -> str:
+    """Why an element is no part of an article: 'never' by its name or because it is hidden, 'comments' or 'hint' by class, id or role or as a wrapper, else ''."""
+    if name in SKIPPED and name not in WRAPPERS:
+        return "never"
+    why = "hint" if name in WRAPPERS else ""
+    if name in ("body", "html") or not attributes or not _MARK.search(attributes):
+        return why
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role") and not HINTS.isdisjoint(_NAMES.findall(value)):
-            return True
-    return False
+        if name not in LABELLED and (key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value)):
+            return "never"
+        if key in ("class", "id", "role") and (found := hints(value)):
+            why = "comments" if why == "comments" or not found.isdisjoint(COMMENTS) else "hint"
+    return why
 
 
-def tokens(page: str):
-    """(kind, value) of a page in order, without unwanted elements: 'tag' with a name ('/' before an end tag) or 'text', decoded."""
+def parsed(page: str) -> tuple[list[tuple[str, str]], list[tuple[int, int, str, str]]]:
+    """All texts (not decoded) and tags of a page in order, and (first, end, name, why) of each element that is unwanted, an article or a main."""
     at, size, text = 0, len(page), []
-    stack: list[tuple[str, bool]] = []
-    skipping = 0
+    events: list[tuple[str, str]] = []
+    stack: list[tuple[str, int]] = []
+    elements: list[list] = []
+
+    def close(end: int) -> None:
+        _, i = stack.pop()
+        if i >= 0:
+            elements[i][1] = end
+
     while at < size:
         mark = page.find("<", at)
         if mark < 0:
             mark = size
-        if mark > at and not skipping:
+        if mark > at:
             text.append(page[at:mark])
         if mark == size:
             break
@@ -72,42 +98,75 @@ def tokens(page: str):
                 end = page.find(">", mark)
                 at = size if end < 0 else end + 1
             else:
-                if not skipping:
-                    text.append("<")
+                text.append("<")
                 at = mark + 1
             continue
         at = m.end()
         closing, name, attributes = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], m[5].lower(), m[6])
         if text:
-            yield "text", entities.unescape("".join(text))
+            events.append(("text", "".join(text)))
             text = []
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if depth >= 0:
-                gone = stack[depth:]
-                del stack[depth:]
-                was = skipping
-                skipping -= sum(skip for _, skip in gone)
-                if not was:
-                    yield "tag", "/" + name
+                while len(stack) > depth + 1:
+                    close(len(events))
+                events.append(("tag", "/" + name))
+                close(len(events))
             continue
         closed = {"p"} if name in CLOSES_P else set()
         closed |= SELF_CLOSING.get(name, set())
         while stack and stack[-1][0] in closed:
-            skipping -= stack.pop()[1]
-        skip = unwanted(name, attributes)
-        if name not in EMPTY and not attributes.endswith("/"):
-            stack.append((name, skip))
-            skipping += skip
-            if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                if not skipping:
-                    yield "text", entities.unescape(page[at : end.start() if end else size])
-                at = end.start() if end else size
-        if not skipping:
-            yield "tag", name
+            close(len(events))
+        why = unwanted(name, attributes)
+        events.append(("tag", name))
+        if name in EMPTY or attributes.endswith("/"):
+            continue
+        if why or name in LABELLED:
+            elements.append([len(events) - 1, -1, name, why])
+        stack.append((name, len(elements) - 1 if why or name in LABELLED else -1))
+        if name in RAW:
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            events.append(("text", page[at : end.start() if end else size]))
+            at = end.start() if end else size
     if text:
-        yield "text", entities.unescape("".join(text))
+        events.append(("text", "".join(text)))
+    return events, [(first, len(events) if end < 0 else end, name, why) for first, end, name, why in elements]
+
+
+def tokens(page: str):
+    """(kind, value) of a page in order, without unwanted elements: 'tag' with a name ('/' before an end tag) or 'text', decoded.
+
+    An element that is unwanted by a hint stays if it holds the page's main element (or, without one, all its articles),
+    or, on a page with neither and if it is no list of comments, over half of the words.
+    """
+    events, elements = parsed(page)
+    gone = _covered(len(events), [(first, end) for first, end, name, why in elements if why == "never"])
+    own = [(first, end, name) for first, end, name, why in elements if name in LABELLED and not why and not gone[first]]
+    own = [x for x in own if x[2] == "main"] or own
+    before = [0]
+    for (kind, value), skip in zip(events, gone, strict=True):
+        before.append(before[-1] + (len(value.split()) if kind == "text" and not skip else 0))
+    first_own, last_own = min((x[0] for x in own), default=0), max((x[1] for x in own), default=0)
+    out = []
+    for first, end, name, why in elements:
+        if why not in ("hint", "comments") or name in LABELLED:
+            continue
+        holds = first < first_own and last_own <= end if own else why == "hint" and 2 * (before[end] - before[first]) > before[-1]
+        if not holds:
+            out.append((first, end))
+    for (kind, value), never, skip in zip(events, gone, _covered(len(events), out), strict=True):
+        if not never and not skip:
+            yield kind, entities.unescape(value) if kind == "text" else value
+
+
+def _covered(n: int, ranges: list[tuple[int, int]]) -> list[bool]:
+    """For each of n places, whether a range holds it."""
+    step = [0] * (n + 1)
+    for first, end in ranges:
+        step[first] += 1
+        step[end] -= 1
+    return [depth > 0 for depth in itertools.accumulate(step[:n])]
 
 
 def sightings(page: str) -> list[tuple[str, int, int]]:

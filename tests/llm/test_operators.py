@@ -409,6 +409,22 @@ def test_unwanted_parts_and_broken_pages():
         assert html.main_text(broken, {}) in ("", "<", "x")
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<div class='content has-sidebar'>", "</div>"), ("<div class='post no-comments'>", "</div>"), ("<form>", "</form>"), ("<div class='page sidebar-right'>", "</div>"),
+    ("<div data-id='search'>", "</div>"), ("<p title='hidden gem'>", "</p>"), ("<form><main>", "</main></form>"), ("<div id=promo><article>", "</article></div>"),
+])
+def test_wrappers_keep_their_article(start, end):
+    words = " ".join(f"word{i}" for i in range(60))
+    page = f"<body><nav>Menu here</nav>{start}{words}<div class='ad'>Buy this</div>{end}<div class='comments'><article class='comment'>Nice</article></div></body>"
+    assert html.main_text(page, {}) == words
+
+
+def test_figures_and_long_comments():
+    words = " ".join(f"word{i}" for i in range(60))
+    assert html.main_text(f"<article>{words}<figure><pre>code</pre><figcaption>The caption</figcaption></figure></article>", {}) == f"{words}\n\ncode\n\nThe caption"
+    assert html.main_text(f"<div>{words}</div><div id='comments'>{words} {words}</div>", {}) == words
+
+
 def test_odd_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x y</p>")], "page_id long, url string, html string").withColumn("text", F.lit(1))
     assert sorted((r.text, r.n_chars) for r in html.extract(pages).collect()) == [("", 0), ("", 0), ("x y", 3)]
