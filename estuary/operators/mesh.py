@@ -133,34 +133,57 @@ def layer_volume(nodes: DataFrame, elements: DataFrame, sigma: DataFrame, surfac
     return surface.join(still, "node_id").withColumn("volume", F.col("volume") * (1 + F.col("zeta") / F.col("h"))).drop("area", "dz", "h")
 
 
-def shortest_path(nodes: DataFrame, elements: DataFrame, start: int, goal: int, reverse: bool = False, rounds_at_once: int = 4) -> DataFrame:
-    """(seq, ele_id): the element path from start to goal with the least sum of centre distances.
+def section_paths(nodes: DataFrame, elements: DataFrame, waypoints: DataFrame, reverse: bool = False, rounds_at_once: int = 4) -> DataFrame:
+    """(section, seq, ele_id): each section's element path through its waypoints in order, with the least sum of centre distances.
 
-    Relaxation over the edge list: several rounds make one job, then the distances are written to the shared folder;
-    it stops when a job changes nothing. Predecessors are kept, and the path is read back along them.
+    waypoints: section, seq, ele_id; two at least in a section. Each pair of neighbours is a leg, and all legs are
+    relaxed at once over the edge list: several rounds make one job, then the distances are written to the shared
+    folder; it stops when a job changes nothing. Paths are read back from the goals by joins on the written
+    predecessors, twice as far each round. An element where two legs meet stands once.
     """
+    leg = ["section", "leg"]
+    order = Window.partitionBy("section").orderBy("seq")
+    pairs = waypoints.select("section", F.row_number().over(order).alias("leg"), F.col("ele_id").alias("start"), F.lead("ele_id").over(order).alias("goal"))
+    if short := pairs.groupBy("section").agg(F.count("*").alias("n")).where("n < 2").first():
+        raise ValueError(f"section {short.section} has a single waypoint")
+    legs = written(pairs.where("goal IS NOT NULL"), "path-legs")
     links = element_neighbors(elements).where("nei_id <> 0").select(F.col("ele_id").alias("src"), F.col("nei_id").alias("dst"))
     links = written(distance(links, element_centers(nodes, elements).select("ele_id", "x", "y"), "src", "dst", "ele_id"), "path-links")
-    best = elements.where(F.col("ele_id") == start).select("ele_id", F.lit(0.0).alias("cost"), F.lit(0).alias("prev"))
+    best = legs.join(elements, F.col("start") == F.col("ele_id")).select(*leg, "ele_id", F.lit(0.0).alias("cost"), F.lit(0).alias("prev"))
     before = None
     while True:
         for _ in range(rounds_at_once):
-            step = best.join(links, best.ele_id == links.src).select(F.col("dst").alias("ele_id"), (F.col("cost") + F.col("dist")).alias("cost"), F.col("src").alias("prev"))
-            best = best.unionByName(step).groupBy("ele_id").agg(F.min(F.struct("cost", "prev")).alias("m")).select("ele_id", "m.cost", "m.prev")
+            step = best.join(links, best.ele_id == links.src).select(*leg, F.col("dst").alias("ele_id"), (F.col("cost") + F.col("dist")).alias("cost"), F.col("src").alias("prev"))
+            best = best.unionByName(step).groupBy(*leg, "ele_id").agg(F.min(F.struct("cost", "prev")).alias("m")).select(*leg, "ele_id", "m.cost", "m.prev")
         best = written(best, "path-costs")
-        now = tuple(best.agg(F.count("*"), F.sum("cost")).first())
+        now = tuple(best.agg(F.count("*"), F.bit_xor(F.xxhash64(*leg, "ele_id", "cost", "prev"))).first())
         if now == before:
             break
         before = now
-    # the mesh's own order of magnitude bounds this map, not the size of any field
-    previous = {r.ele_id: r.prev for r in best.select("ele_id", "prev").collect()}
-    if goal not in previous:
-        raise ValueError(f"no path from element {start} to {goal}")
-    path = [goal]
-    while path[-1] != start:
-        path.append(previous[path[-1]])
-    path = path if reverse else path[::-1]
-    return nodes.sparkSession.createDataFrame(list(enumerate(path, 1)), "seq int, ele_id int")
+    missing = legs.join(best.select(*leg, F.col("ele_id").alias("goal")), [*leg, "goal"], "left_anti").first()
+    if missing:
+        raise ValueError(f"no path from element {missing.start} to {missing.goal}")
+    back = best.where("prev <> 0").select(*leg, F.col("ele_id").alias("src"), F.col("prev").alias("dst"))
+    path = legs.select(*leg, F.col("goal").alias("ele_id"), F.lit(0).cast("long").alias("back"))
+    found, reach = 0, 1
+    while True:
+        further = path.join(back, (path.section == back.section) & (path.leg == back.leg) & (path.ele_id == back.src)).select(path.section, path.leg, F.col("dst").alias("ele_id"), (F.col("back") + reach).alias("back"))
+        path = written(path.unionByName(further), "path-steps")
+        if (now := path.count()) == found:
+            break
+        found, reach = now, 2 * reach
+        onward = back.select(*leg, F.col("src").alias("dst"), F.col("dst").alias("beyond"))
+        back = written(back.join(onward, [*leg, "dst"]).select(*leg, "src", F.col("beyond").alias("dst")), "path-jumps")
+    last = Window.partitionBy("section", "leg")
+    steps = path.withColumn("at", F.max("back").over(last) - F.col("back")).where("leg = 1 OR at > 0")
+    along = [F.desc("leg"), F.desc("at")] if reverse else [F.asc("leg"), F.asc("at")]
+    return steps.select("section", F.row_number().over(Window.partitionBy("section").orderBy(*along)).alias("seq"), "ele_id")
+
+
+def shortest_path(nodes: DataFrame, elements: DataFrame, start: int, goal: int, reverse: bool = False, rounds_at_once: int = 4) -> DataFrame:
+    """(seq, ele_id): the element path from start to goal with the least sum of centre distances."""
+    ends = nodes.sparkSession.createDataFrame([(1, 1, start), (1, 2, goal)], "section int, seq int, ele_id int")
+    return section_paths(nodes, elements, ends, reverse, rounds_at_once).select("seq", "ele_id")
 
 
 def points_in_region(points: DataFrame, ring_edges: DataFrame) -> DataFrame:
