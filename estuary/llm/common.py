@@ -57,3 +57,23 @@ def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     Select few columns first: each task sends its own smallest rows.
     """
     return df.orderBy(F.xxhash64(key), key, *(c for c in df.columns if c != key)).limit(limit)
+
+
+def hot_keys(rows: DataFrame, on: list[str], share: int = 1000) -> DataFrame:
+    """The keys with more than one in so many of all rows: fewer than `share` of them, at any size."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
+    often = counts.agg((F.sum("n") / share).alias("often"))
+    return counts.join(F.broadcast(often), F.col("n") > F.col("often")).select(*on)
+
+
+def join_dealt(many: DataFrame, few: DataFrame, on: list[str], by: str, hot: DataFrame | None = None, parts: int = 64) -> DataFrame:
+    """Inner join where a key may have a large share of the first side's rows.
+
+    The rows of such hot keys (given, or found by hot_keys) are dealt to `parts` parts by the hash of the column `by`,
+    and the second side's rows of these keys, few by assumption, are repeated for each part.
+    """
+    hot = F.broadcast((hot_keys(many, on) if hot is None else hot).select(*on, F.lit(parts).alias("_parts")))
+    count = F.coalesce("_parts", F.lit(1))
+    dealt = many.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(by), count).cast("int")).drop("_parts")
+    spread = few.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), count - 1))).drop("_parts")
+    return dealt.join(spread, [*on, "_part"]).drop("_part")
