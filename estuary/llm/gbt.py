@@ -88,7 +88,12 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: f
 
 def split_rows(keys: np.ndarray, share: int = 4) -> np.ndarray:
     """True for the rows held out, chosen by key alone."""
-    return (np.asarray(keys, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(share) == 0
+    return folds(keys, share) == 0
+
+
+def folds(keys: np.ndarray, count: int) -> np.ndarray:
+    """The fold of each row, chosen by key alone."""
+    return ((np.asarray(keys, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(count)).astype(int)
 
 
 def safe_threshold(scores: np.ndarray, labels: np.ndarray, false_rate: float, least: float = 0.5) -> float:
