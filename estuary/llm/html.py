@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import itertools
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +22,10 @@ PRIOR, PRIOR_WEIGHT = 0.01, 2.0
 
 # HTML element names.
 RAW = frozenset("script style textarea title".split())
-SKIPPED = frozenset("head script style title noscript template svg math iframe object canvas audio video nav footer header aside form button select menu dialog".split())
+SKIPPED = frozenset("head script style title noscript template svg iframe object canvas audio video nav footer header aside form button select menu dialog".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Of the skipped, those that may also hold the whole page or its article.
-WRAPPERS = frozenset("nav footer header aside form menu dialog".split())
+WRAPPERS = frozenset("nav footer header aside form menu dialog noscript".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -34,19 +35,24 @@ HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: After these a class tells what the page has, not what the element is: has-sidebar, no-comments.
 ABOUT = frozenset("has have no not non with without hide hides show shows".split())
+#: A class that ends with one of these tells a state: comments-open, ad-free.
+STATES = frozenset("open closed enabled disabled on off free allowed count left right top bottom".split())
 LABELLED = ("article", "main")
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>")
 _MARK = re.compile(r"class|id|role|aria-hidden|style|hidden", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?")
 _NAMES = re.compile(r"[a-z]+")
 
 
 def hints(value: str) -> set[str]:
-    """The words of a class, id or role that tell what its element is: token by token, none after a word of ABOUT."""
+    """The words of a class, id or role that tell what its element is: token by token, none after a word of ABOUT, none of a state."""
     out: set[str] = set()
     for token in value.split():
-        for word in _NAMES.findall(token):
+        words = _NAMES.findall(token)
+        if words and words[-1] in STATES and len(words) > 1:
+            continue
+        for word in words:
             if word in ABOUT:
                 break
             out.add(word)
@@ -54,10 +60,10 @@ def hints(value: str) -> set[str]:
 
 
 def unwanted(name: str, attributes: str) -> str:
-    """Why an element is no part of an article: 'never' by its name or because it is hidden, 'comments' or 'hint' by class, id or role or as a wrapper, else ''."""
+    """Why an element is no part of an article: 'never' by its name or because it is hidden, 'comments' or 'hint' by class, id or role or as a wrapper, 'header' if it is just that, else ''."""
     if name in SKIPPED and name not in WRAPPERS:
         return "never"
-    why = "hint" if name in WRAPPERS else ""
+    why = "header" if name == "header" else "hint" if name in WRAPPERS else ""
     if name in ("body", "html") or not attributes or not _MARK.search(attributes):
         return why
     for m in _ATTRIBUTE.finditer(attributes):
@@ -74,10 +80,12 @@ def parsed(page: str) -> tuple[list[tuple[str, str]], list[tuple[int, int, str,
     at, size, text = 0, len(page), []
     events: list[tuple[str, str]] = []
     stack: list[tuple[str, int]] = []
+    open_names: Counter[str] = Counter()
     elements: list[list] = []
 
     def close(end: int) -> None:
-        _, i = stack.pop()
+        name, i = stack.pop()
+        open_names[name] -= 1
         if i >= 0:
             elements[i][1] = end
 
@@ -107,9 +115,8 @@ def parsed(page: str) -> tuple[list[tuple[str, str]], list[tuple[int, int, str,
             events.append(("text", "".join(text)))
             text = []
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if depth >= 0:
-                while len(stack) > depth + 1:
+            if open_names[name]:
+                while stack[-1][0] != name:
                     close(len(events))
                 events.append(("tag", "/" + name))
                 close(len(events))
@@ -125,6 +132,7 @@ def parsed(page: str) -> tuple[list[tuple[str, str]], list[tuple[int, int, str,
         if why or name in LABELLED:
             elements.append([len(events) - 1, -1, name, why])
         stack.append((name, len(elements) - 1 if why or name in LABELLED else -1))
+        open_names[name] += 1
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             events.append(("text", page[at : end.start() if end else size]))
@@ -138,11 +146,13 @@ def tokens(page: str):
     """(kind, value) of a page in order, without unwanted elements: 'tag' with a name ('/' before an end tag) or 'text', decoded.
 
     An element that is unwanted by a hint stays if it holds the page's main element (or, without one, all its articles),
-    or, on a page with neither and if it is no list of comments, over half of the words.
+    or, on a page with neither and if it is no list of comments, over half of the words. An article's own <header>
+    stays as well. If nothing but hints and comments is left of a page's words, hints do not count.
     """
     events, elements = parsed(page)
     gone = _covered(len(events), [(first, end) for first, end, name, why in elements if why == "never"])
     own = [(first, end, name) for first, end, name, why in elements if name in LABELLED and not why and not gone[first]]
+    inside = _covered(len(events), [(first, end) for first, end, name in own if name == "article"])
     own = [x for x in own if x[2] == "main"] or own
     before = [0]
     for (kind, value), skip in zip(events, gone, strict=True):
@@ -150,12 +160,18 @@ def tokens(page: str):
     first_own, last_own = min((x[0] for x in own), default=0), max((x[1] for x in own), default=0)
     out = []
     for first, end, name, why in elements:
-        if why not in ("hint", "comments") or name in LABELLED:
+        if why not in ("hint", "header", "comments") or name in LABELLED:
             continue
-        holds = first < first_own and last_own <= end if own else why == "hint" and 2 * (before[end] - before[first]) > before[-1]
-        if not holds:
-            out.append((first, end))
-    for (kind, value), never, skip in zip(events, gone, _covered(len(events), out), strict=True):
+        if own:
+            holds = first < first_own and last_own <= end
+        else:
+            holds = why != "comments" and 2 * (before[end] - before[first]) > before[-1]
+        if not holds and not (why == "header" and inside[first]):
+            out.append((first, end, why))
+    unwanted_ = _covered(len(events), [(first, end) for first, end, _ in out])
+    if before[-1] and all(before[i] == before[i + 1] or unwanted_[i] for i in range(len(events))):
+        unwanted_ = _covered(len(events), [(first, end) for first, end, why in out if why == "comments"])
+    for (kind, value), never, skip in zip(events, gone, unwanted_, strict=True):
         if not never and not skip:
             yield kind, entities.unescape(value) if kind == "text" else value
 
@@ -185,7 +201,11 @@ def sightings(page: str) -> list[tuple[str, int, int]]:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_labelled: int = MAX_LABELLED, scale: float = SCALE) -> dict[str, float]:
-    """What each tag costs: scale times its share of sightings outside the labelled content, over max_labelled pages at most."""
+    """What each tag costs: scale times its share of sightings outside the labelled content.
+
+    The costs are learned from max_labelled pages at most, those whose ids have the smallest hashes; tags that these do
+    not hold have the prior.
+    """
     ids = F.broadcast(hash_sample(pages.select(F.col(id_col).alias("key")).where("key is not null").distinct(), "key", max_labelled))
     source = keyed_texts(pages, id_col, html_col).join(ids, F.col("id") == F.col("key")).select("text")
 
@@ -195,8 +215,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_l
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], names=["tag", "inside", "outside"])
 
     totals = source.mapInArrow(count, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    # odd names are as many as pages may invent: the ones seen most are enough, others have the prior
-    rows = totals.orderBy(F.desc(F.col("i") + F.col("o")), "tag").limit(1000).collect()
+    rows = totals.collect()  # the tag names of max_labelled pages
     return {r.tag: scale * (r.o + PRIOR * PRIOR_WEIGHT) / (r.i + r.o + PRIOR_WEIGHT) for r in rows}
 
 
@@ -224,8 +243,9 @@ def main_text(page: str, weights: dict[str, float], scale: float = SCALE) -> str
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", weights: dict[str, float] | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
-    Null or empty html: empty text. Broken markup is read as far as it goes. Repeated rows come back once each.
-    Other columns are ignored. Empty table: no rows.
+    Null or empty html: empty text. Broken markup is read as far as it goes, very long pages whole, in time linear in
+    their length. Of regions with equal scores the first counts, and of those from one start the shortest. Repeated
+    rows come back once each. Other columns are ignored, whatever their names. Empty table: no rows.
     """
     weights = fit(pages, id_col, html_col) if weights is None else weights
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("text"))
