@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estuary.llm.common import encoding, keyed_texts, slices
+from estuary.session import scratch
 
 LONGEST = 2048
 END_ID = 1
@@ -25,11 +26,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
 
     A document is its token ids and end_id. No sequence crosses documents and none needs padding; pieces of one
     length form a bucket, so a batch from a bucket is a full rectangle. Returns doc_id, start, length, ids
-    (little-endian unsigned 32-bit), doc_tokens, sequence_id and offset (always 0). There is no shuffle: each task
-    encodes its own rows, a few MB at a time.
+    (little-endian unsigned 32-bit), doc_tokens, sequence_id and offset (always 0); the sequence ids of a bucket lie
+    together, those of shorter lengths first. There is no shuffle: each task encodes its own rows, a few MB at a time.
 
-    Null or empty text: the single piece [end_id]. Repeated rows are packed once each. Empty table: no rows. Other
-    columns are ignored, whatever their names.
+    Null or empty text: the single piece [end_id]. A text of any length is encoded whole. Repeated rows are packed once
+    each. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -63,12 +64,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     pieces = source.mapInArrow(cut, schema)
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    bucket = F.bit_count(F.col("length") - 1).cast("long")  # the length's exponent, 62 at most with the row number
+    return pieces.withColumn("sequence_id", F.shiftleft(bucket, 58) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """One folder for each length, ready to be read as rectangles."""
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """One folder for each length, ready to be read as rectangles; returns the pieces read from there. Nothing is shuffled."""
     pieces.write.partitionBy("length").parquet(path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path).select(pieces.columns)
+
+
+def bucketed(docs: DataFrame, **options) -> DataFrame:
+    """pack() with the pieces of each length in a bucket of their own, under a new path in the shared folder."""
+    return write_buckets(pack(docs, **options), scratch(docs.sparkSession, "packing-buckets"))
 
 
 def packed_digest(pieces: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_digest(packing.pack(table(spark, sf_dir, "documents")))
+    return packing.packed_digest(packing.bucketed(table(spark, sf_dir, "documents")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +47,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_all_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9_license_scan and the notices shorter than a shingle."""
-    return licenses.scan(table(spark, sf_dir, "documents"), templates=licenses.TEMPLATES | licenses.SHORT_TEMPLATES)
+    """op9_license_scan with whole notices, and those shorter than a shingle."""
+    return licenses.scan(table(spark, sf_dir, "documents"), templates=licenses.ALL_TEMPLATES)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +100,5 @@ SELECT z.doc_id, coalesce(y.n, 0) AS n_removed, coalesce(y.spans, '') AS removed
 FROM z LEFT JOIN y ON y.r = z.r
 """,
     "op9_license_scan": licenses.oracle(),
-    "op9_all_notices": licenses.oracle_with_short(),
+    "op9_all_notices": licenses.oracle_of_all(),
 }
