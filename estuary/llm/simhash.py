@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estuary.llm.common import keyed_texts, slices
+from estuary.llm.common import join_dealt, keyed_texts, slices
 from estuary.session import written
 
 SHINGLE = 3
@@ -146,14 +146,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
 
     Documents link where their fingerprints differ in `radius` bits at most. Equal fingerprints count once until the
-    end, so groups of copies cost one row each. Null and empty texts have fingerprint zero and link like any other.
+    end, so groups of copies cost one row each; fingerprints of over a thousandth of all rows, so under a thousand,
+    have their rows dealt to parts in the last join. Texts of any length are read whole. Null and empty texts have fingerprint zero and link like any other.
     Repeated rows come back as often as they came. A null doc_id comes back with its group's id, null if the group
     has no other. Empty table: no rows.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fp")
-    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    prints = written(fingerprints(docs, id_col, text_col, shingle, seed).withColumn("row", F.monotonically_increasing_id()), "simhash-fp")
+    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    hot = firsts.join(F.broadcast(firsts.agg((F.sum("n") / 1000).alias("often"))), F.col("n") > F.col("often"))
     roots = written(components(links(firsts.select("fp"), radius)), "simhash-roots")
     placed = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_dealt(prints, named, ["fp"], "row", hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
