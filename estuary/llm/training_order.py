@@ -23,7 +23,7 @@ ROUNDS = 6
 END_ID = 50256
 END = np.array([END_ID], "<u2")
 #: Token ids in a group, and bytes of ids that make the dictionary sequences are compressed with on their way.
-GROUP_IDS, DICTIONARY = 1 << 21, 110_000
+GROUP_IDS, DICTIONARY = 1 << 20, 110_000
 #: After each record stand two zero bytes: the row separator of Spark's text writer. A record takes 2 * length + 2 bytes.
 SEPARATOR = "\x00\x00"
 
@@ -86,7 +86,7 @@ def token_groups(docs: DataFrame, length: int, ranks_path: str | None) -> DataFr
         ids, counts, named, size, place, last = [], [], [], 0, None, ("", -1)
 
         def group():
-            raw = np.concatenate(ids).astype("<u2").tobytes()
+            raw = b"".join(ids)
             doc_ids = pa.concat_arrays(named)
             row = [pa.array([v], pa.int64()) for v in (part << 24 | chunks, place[1], before, len(raw) // 2)]
             whole = pa.array([0, len(counts)], pa.int32())
@@ -107,8 +107,8 @@ def token_groups(docs: DataFrame, length: int, ranks_path: str | None) -> DataFr
                             yield group()
                         ids, counts, named, size, first, before, place, chunks = [], [], [], 0, i, 0, None, chunks + 1
                     place, last = place or here, here
-                    ids += [encode(text, allowed_special="all"), [END_ID]]
-                    counts.append(len(ids[-2]) + 1)
+                    ids += [encode(text, allowed_special="all").astype("<u2").tobytes(), END.tobytes()]
+                    counts.append(len(ids[-2]) // 2 + 1)
                     size += counts[-1]
                     if size >= GROUP_IDS:
                         named.append(keys.slice(first, i + 1 - first))
