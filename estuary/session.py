@@ -53,8 +53,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written as a table in the shared folder, with options of the writer, and read back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
