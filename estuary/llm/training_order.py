@@ -26,6 +26,8 @@ END = np.array([END_ID], "<u2")
 GROUP_IDS, DICTIONARY = 1 << 20, 110_000
 #: After each record stand two zero bytes: the row separator of Spark's text writer. A record takes 2 * length + 2 bytes.
 SEPARATOR = "\x00\x00"
+#: Row groups of the table of ids: a reader holds one at a time, and large reads stay in a JVM's buffers for good.
+SMALL_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 def stride(length: int) -> int:
@@ -138,7 +140,7 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     they come. Other columns are ignored, whatever their names. Empty table: no files, no rows.
     """
     spark = docs.sparkSession
-    groups = written(token_groups(located(docs, id_col, text_col), length, ranks_path), "order-ids")
+    groups = written(token_groups(located(docs, id_col, text_col), length, ranks_path), "order-ids", **SMALL_GROUPS)
     starts, ids = {}, 0
     # one row for each split of the input
     for r in groups.groupBy("chunk").agg(F.min(F.struct("file", "at")).alias("place"), F.sum("n").alias("n")).orderBy("place.file", "place.at", "chunk").collect():
@@ -160,8 +162,8 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             for start, blob in zip(starts_of(batch).tolist() if batch.num_rows else (), batch.column("blob"), strict=True):
                 raw = unpack(blob.as_py())
                 first, last = -(-start // length), (start + len(raw) // 2) // length
-                for a in range(first, last, 2048):
-                    mine = range(a, min(last, a + 2048))
+                for a in range(first, last, 512):
+                    mine = range(a, min(last, a + 512))
                     records = [pack(raw[2 * (i * length - start) : 2 * ((i + 1) * length - start)]) for i in mine]
                     slot = permute(np.arange(mine.start, mine.stop), total, key)
                     yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(records, pa.binary()), pa.array(np.ones(len(slot), bool))], names=["slot", "ids", "packed"])
@@ -181,9 +183,11 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def unpacked(batches):
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(sample)).decompress
-        for batch in batches:
-            whole = [unpack(x) if z else x for x, z in zip(batch.column("ids").to_pylist(), batch.column("packed").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("slot"), pa.array(whole, pa.binary())], names=["shard", "slot", "ids"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                ids = [unpack(x) if z else x for x, z in zip(batch.column("ids").to_pylist(), batch.column("packed").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("slot"), pa.array(ids, pa.binary())], names=["shard", "slot", "ids"])
 
     inner = groups.select("chunk", "before", "blob").mapInArrow(cut, "slot long, ids binary, packed boolean")
     pieces = groups.select("chunk", "before", "n", "head", "tail").mapInArrow(edges, "slot long, from long, ids binary")
