@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,41 +52,42 @@ def river_inflow(loading: DataFrame, sources: DataFrame, cv: DataFrame, concentr
     return dates.join(found, "date", "left").select("date", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))
 
 
-def _met(storage: DataFrame, others: list[DataFrame], time: str) -> DataFrame:
+def _met(storage: DataFrame, others: list[DataFrame], time: str, keys: Sequence[str]) -> DataFrame:
     for other in others:
-        storage = storage.join(other, time, "left")
+        storage = storage.join(other, [*(k for k in keys if k in other.columns), time], "left")
     return storage
 
 
-def volume_budget(storage: DataFrame, exchange: DataFrame, rivers: DataFrame, average: str = "all", time: str = "ts") -> DataFrame:
-    """(time, dvdt, q_in, q_out, q_r, error): error = -dvdt + q_in + q_out + q_r, NULL where q_r is; rows that lack a term of exchange go.
+def volume_budget(storage: DataFrame, exchange: DataFrame, rivers: DataFrame, average: str = "all", time: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, time, dvdt, q_in, q_out, q_r, error): error = -dvdt + q_in + q_out + q_r, NULL where q_r is; rows that lack a term of exchange go.
 
+    keys tell series apart, such as runs and volumes; exchange and rivers join by those that they have.
     average: "all" or "notq" (storage and rivers only) passes terms through the tidal filter; "none" leaves them.
     """
-    rows = _met(storage, [exchange, rivers], time).dropna(subset=["dvdt", "q_in", "q_out"])
+    rows = _met(storage, [exchange, rivers], time, keys).dropna(subset=["dvdt", "q_in", "q_out"])
     filtered = {"all": ["dvdt", "q_in", "q_out", "q_r"], "notq": ["dvdt", "q_r"], "none": []}[average]
-    rows = S.godin(rows, filtered, [], time) if filtered else rows
+    rows = S.godin(rows, filtered, [*keys], time) if filtered else rows
     return rows.withColumn("error", -F.col("dvdt") + F.col("q_in") + F.col("q_out") + F.col("q_r"))
 
 
-def salt_budget(storage: DataFrame, exchange: DataFrame, time: str = "ts") -> DataFrame:
-    """(time, dsdt, s_in, s_out, error): error = -dsdt + s_in + s_out; a missing term makes it NULL."""
-    return _met(storage, [exchange], time).withColumn("error", -F.col("dsdt") + F.col("s_in") + F.col("s_out"))
+def salt_budget(storage: DataFrame, exchange: DataFrame, time: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, time, dsdt, s_in, s_out, error): error = -dsdt + s_in + s_out; a missing term makes it NULL."""
+    return _met(storage, [exchange], time, keys).withColumn("error", -F.col("dsdt") + F.col("s_in") + F.col("s_out"))
 
 
-def constituent_budget(storage: DataFrame, terms: DataFrame, names: list[str], time: str = "ts") -> DataFrame:
-    """(time, dcdt, names, source_sink): tidal means of all; source_sink = dcdt less the terms, missing ones skipped; rows without dcdt go."""
-    rows = S.godin(_met(storage, [terms], time), ["dcdt", *names], [], time)
+def constituent_budget(storage: DataFrame, terms: DataFrame, names: list[str], time: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, time, dcdt, names, source_sink): tidal means of all; source_sink = dcdt less the terms, missing ones skipped; rows without dcdt go."""
+    rows = S.godin(_met(storage, [terms], time, keys), ["dcdt", *names], [*keys], time)
     rest = F.col("dcdt")
     for c in names:
         rest = rest - F.coalesce(c, F.lit(0.0))
     return rows.withColumn("source_sink", rest).dropna(subset=["dcdt"])
 
 
-def error_stats(budget: DataFrame, skip: int, time: str = "ts") -> DataFrame:
-    """(mean_error, pct_of_rivers, abs_per_storage, rmse) after the first rows."""
-    rows = budget.withColumn("i", F.row_number().over(Window.orderBy(time))).where(F.col("i") > skip)
-    return rows.agg(
+def error_stats(budget: DataFrame, skip: int, time: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, mean_error, pct_of_rivers, abs_per_storage, rmse) after the first rows of each series."""
+    rows = budget.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(time))).where(F.col("i") > skip)
+    return rows.groupBy(*keys).agg(
         F.avg("error").alias("mean_error"),
         (100 * F.avg("error") / F.avg("q_r")).alias("pct_of_rivers"),
         (F.avg(F.abs("error")) / F.avg(F.abs("dvdt"))).alias("abs_per_storage"),
@@ -92,11 +95,36 @@ def error_stats(budget: DataFrame, skip: int, time: str = "ts") -> DataFrame:
     )
 
 
-def tef_budget(volumes: DataFrame, exchange: DataFrame, rivers: DataFrame, step: float, average: str = "all", skip: int = 0, time: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """The volume budget from a storage series (time, volume), and its error figures. Columns that lack are an error."""
-    for frame, need in ((volumes, {time, "volume"}), (exchange, {time, "q_in", "q_out"}), (rivers, {time, "q_r"})):
-        if lacking := need - set(frame.columns):
-            raise ValueError(f"missing: {', '.join(sorted(lacking))}")
-    storage = S.time_derivative(volumes.withColumn("all", F.lit(1)), "volume", step, ["all"], time).select(time, F.col("derivative").alias("dvdt"))
-    budget = volume_budget(storage, exchange, rivers, average, time)
-    return budget, error_stats(budget.dropna(subset=["error"]), skip, time)
+def tef_budget(storage: DataFrame, exchange: DataFrame, rivers: DataFrame, step: float, constituents: dict[str, list[str]] | None = None, average: str = "all", skip: int = 0, time: str = "ts", keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """All budgets of one or many control volumes and runs: "volume", "stats" (its error figures), "salt" where there is salt, and one for each constituent.
+
+    storage: keys, time, volume, and v_salt and v_<constituent> where budgets of these are wanted, as cv_integrals gives
+    them. exchange: time, q_in, q_out, and s_in, s_out for salt. rivers: time, q_r. constituents maps a name to the
+    columns of its terms (exchange, rates, river loads), which exchange or rivers hold. Columns that lack are an error.
+    """
+    constituents = constituents or {}
+    salty = "v_salt" in storage.columns
+    terms = {c for names in constituents.values() for c in names}
+    lacking = {time, *keys, "volume", *(f"v_{c}" for c in constituents)} - set(storage.columns)
+    lacking |= {time, "q_in", "q_out", *(("s_in", "s_out") if salty else ())} - set(exchange.columns)
+    lacking |= {time, "q_r"} - set(rivers.columns)
+    lacking |= terms - set(exchange.columns) - set(rivers.columns)
+    if lacking:
+        raise ValueError(f"missing: {', '.join(sorted(lacking))}")
+
+    def change(value: str, name: str) -> DataFrame:
+        series = storage.select(*keys, time, value).withColumn("all", F.lit(1))
+        return S.time_derivative(series, value, step, [*keys, "all"], time).select(*keys, time, F.col("derivative").alias(name))
+
+    def of(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+        return frame.select(*(k for k in keys if k in frame.columns), time, *columns)
+
+    volume = volume_budget(change("volume", "dvdt"), of(exchange, ["q_in", "q_out"]), of(rivers, ["q_r"]), average, time, keys)
+    out = {"volume": volume, "stats": error_stats(volume.dropna(subset=["error"]), skip, time, keys)}
+    if salty:
+        out["salt"] = salt_budget(change("v_salt", "dsdt"), of(exchange, ["s_in", "s_out"]), time, keys)
+    for name, columns in constituents.items():
+        ours = [c for c in columns if c in exchange.columns]
+        dcdt = _met(change(f"v_{name}", "dcdt"), [of(exchange, ours)], time, keys)
+        out[name] = constituent_budget(dcdt, of(rivers, [c for c in columns if c not in ours]), columns, time, keys)
+    return out

@@ -3,19 +3,62 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: The Gram matrix is taken to the driver: at most so many steps squared, 32 MB.
-MOST_STEPS = 2000
+from estuary.session import written
 
+#: The Gram matrix is taken to the driver: so many steps squared make 800 MB, a year of hours 614 MB.
+MOST_STEPS = 10_000
+#: Steps and nodes of the blocks that are multiplied: 8 MB each.
+TILE, BLOCK = 512, 2048
 
-def eof(delta: DataFrame, weights: DataFrame, modes: int = 3) -> DataFrame:
+
+def gram(b: DataFrame, nodes: int, tile: int = TILE, block: int = BLOCK) -> tuple[list, np.ndarray]:
+    """The steps in order and B B' / nodes of a complete field (t, node_id, b).
+
+    Nodes are dealt to blocks and steps to tiles. Each pair of tiles of one block is a matrix product in a task, and
+    the products of a pair are summed over the blocks row by row; only the sums go to the driver.
+    """
+    order = Window.orderBy("t")  # one row a step
+    numbered = b.select("t").distinct().withColumn("i", F.row_number().over(order) - 1)
+    steps = [r.t for r in numbered.orderBy("i").collect()]
+    blocks, tiles = -(-nodes // block), -(-len(steps) // tile)
+    placed = b.join(numbered, "t").select("i", F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int").alias("block"), "node_id", "b")
+    rows = placed.groupBy("i", "block").agg(F.array_sort(F.collect_list(F.struct("node_id", "b"))).alias("line")).select("i", "block", "line.b", F.floor(F.col("i") / tile).cast("int").alias("tile"))
+    tiled = written(rows.groupBy("tile", "block").agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("lines")).select("tile", "block", F.transform("lines", lambda x: x["b"]).alias("m")), "eof-tiles")
+    left = tiled.select("block", F.col("tile").alias("p"), F.col("m").alias("a"), F.explode(F.sequence(F.col("tile"), F.lit(tiles - 1))).alias("q"))
+    pairs = left.join(tiled.select("block", F.col("tile").alias("q"), F.col("m").alias("c")), ["block", "q"])
+
+    def matrix(column, k: int) -> np.ndarray:
+        lines = column[k].values
+        return lines.flatten().to_numpy().reshape(len(lines), -1)
+
+    def multiply(batches):
+        for batch in batches:
+            for k, (first, q) in enumerate(zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), strict=True)):
+                out = matrix(batch.column("a"), k) @ matrix(batch.column("c"), k).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)) + first * tile), pa.array(np.full(len(out), q)), pa.array(list(out), pa.list_(pa.float64()))], names=["i", "q", "g"])
+
+    products = pairs.select("p", "q", "a", "c").mapInArrow(multiply, "i long, q long, g array<double>")
+    nothing = F.array_repeat(F.lit(0.0), F.size(F.first("g")))
+    # one product for each block of nodes
+    total = F.aggregate(F.collect_list("g"), nothing, lambda done, x: F.zip_with(done, x, lambda u, v: u + v))
+    g = np.zeros((len(steps), len(steps)))
+    for r in products.groupBy("i", "q").agg(total.alias("g")).toLocalIterator():
+        g[r.i, r.q * tile : r.q * tile + len(r.g)] = r.g
+    g = np.triu(g)
+    return steps, (g + np.triu(g, 1).T) / nodes
+
+
+def eof(delta: DataFrame, weights: DataFrame, modes: int = 3, most_steps: int = MOST_STEPS) -> DataFrame:
     """(mode, share, t, pc, node_id, eof_value) as two kinds of rows: per step the principal component, per node the map.
 
     Values times normalised weights (area times depth), less each step's spatial mean, give X (steps by nodes). Its
-    singular vectors over steps come from the Gram matrix X X' / n, a join and a sum in Spark; only that matrix, steps
-    by steps, goes to the driver. The maps are then sums over steps, again in Spark. Share is the singular value's part
+    singular vectors over steps come from the Gram matrix X X' / n, block products and sums in Spark; only that matrix,
+    most_steps by most_steps at most, goes to the driver. The maps are then sums over steps, again in Spark. Share is the singular value's part
     of their sum. Steps that lack nodes are left out. Signs are fixed so that a component's largest part is positive.
     """
     total = weights.agg(F.sum("weight").alias("total"))
@@ -23,17 +66,11 @@ def eof(delta: DataFrame, weights: DataFrame, modes: int = 3) -> DataFrame:
     nodes = w.count()
     x = delta.join(w, "node_id").select("t", "node_id", (F.col("delta") * F.col("w")).alias("x"), "w")
     means = x.groupBy("t").agg(F.avg("x").alias("mean"), F.count("*").alias("n")).where(F.col("n") == nodes)
+    if means.count() > most_steps:
+        raise ValueError(f"over {most_steps} steps: average them first, or raise most_steps with the driver's memory")
     b = x.join(means, "t").select("t", "node_id", (F.col("x") - F.col("mean")).alias("b"), "w")
-    other = b.select(F.col("t").alias("s"), "node_id", F.col("b").alias("c"))
-    gram = b.join(other, "node_id").where("t <= s").groupBy("t", "s").agg(F.sum(F.col("b") * F.col("c")).alias("g"))
-    if means.count() > MOST_STEPS:
-        raise ValueError(f"over {MOST_STEPS} steps: average them first")
-    rows = gram.collect()
-    steps = sorted({r.t for r in rows})
+    steps, g = gram(b, nodes)
     at = {t: i for i, t in enumerate(steps)}
-    g = np.zeros((len(steps), len(steps)))
-    for r in rows:
-        g[at[r.t], at[r.s]] = g[at[r.s], at[r.t]] = r.g / nodes
     values, vectors = np.linalg.eigh(g)
     order = np.argsort(-values)
     singular = np.sqrt(np.clip(values[order], 0, None))

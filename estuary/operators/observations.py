@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from estuary.operators.mesh import points_in_region
+from estuary.session import written
 
 # Which model variables make up a parameter, and in what ratio.
 CATALOG = {"temp": {"temp": 1.0}, "salt": {"salinity": 1.0}, "o2": {"doxg": 1.0}, "chla": {"b1": 1000 / 37, "b2": 1000 / 50, "b3": 1.0}}
@@ -24,17 +25,24 @@ def nearest_node(station: DataFrame, nodes: DataFrame, cell: float = 1000.0, rin
     """(location_id, node_id, dist): the nearest node, the smaller id on ties.
 
     Nodes and stations meet in square cells; a node in the surrounding cells nearer than the ring's reach is sure.
-    Stations without one are compared again over all nodes: those few lie far outside the mesh.
+    Stations without one are tried again with cells eight times as wide, until each has its node.
     """
     near = F.sequence(F.lit(-rings), F.lit(rings))
     spots = station.select("location_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    placed = nodes.select("node_id", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    around = spots.select("*", F.explode(near).alias("i")).select("*", F.explode(near).alias("j")).withColumns({"cx": F.floor(F.col("px") / cell) + F.col("i"), "cy": F.floor(F.col("py") / cell) + F.col("j")})
     dist = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     best = F.min(F.struct(dist.alias("dist"), "node_id")).alias("m")
-    sure = around.join(placed, ["cx", "cy"]).groupBy("location_id").agg(best).where(F.col("m.dist") <= rings * cell).select("location_id", "m.node_id", "m.dist")
-    rest = spots.join(sure, "location_id", "left_anti").join(nodes.select("node_id", "x", "y"), how="cross").groupBy("location_id").agg(best)
-    return sure.unionByName(rest.select("location_id", "m.node_id", "m.dist"))
+    found = None
+    while True:
+        at = lambda c: F.floor(F.col(c) / cell)
+        placed = nodes.select("node_id", "x", "y", at("x").alias("cx"), at("y").alias("cy"))
+        around = spots.select("*", F.explode(near).alias("i")).select("*", F.explode(near).alias("j")).withColumns({"cx": at("px") + F.col("i"), "cy": at("py") + F.col("j")})
+        sure = around.join(placed, ["cx", "cy"]).groupBy("location_id").agg(best).where(F.col("m.dist") <= rings * cell).select("location_id", "m.node_id", "m.dist")
+        sure = written(sure, "nearest-node")
+        found = sure if found is None else found.unionByName(sure)
+        spots = spots.join(sure, "location_id", "left_anti").where("px is not null and py is not null")
+        if spots.isEmpty() or nodes.isEmpty():
+            return found
+        cell *= 8
 
 
 def _micros(c: str) -> Column:

@@ -120,8 +120,23 @@ def m10_layer_volume(v):
     return M.layer_volume(v("v_mesh_node"), v("v_mesh_element"), sigma(v), v("v_dense2d")).drop("zeta")
 
 
-@query()
+#: Every element's least cost from the first one and the element before it, after so many rounds as no path has elements; then the way back from the last.
+PATHS = """WITH RECURSIVE own AS (SELECT ele_id, slot, least(p, q) AS a, greatest(p, q) AS b FROM (
+  SELECT ele_id, 0 AS slot, n2 AS p, n3 AS q FROM v_mesh_element UNION ALL SELECT ele_id, 1, n1, n3 FROM v_mesh_element UNION ALL SELECT ele_id, 2, n1, n2 FROM v_mesh_element)),
+centre AS (SELECT ele_id, (p.x + q.x + s.x) / 3 AS x, (p.y + q.y + s.y) / 3 AS y FROM v_mesh_element JOIN v_mesh_node p ON n1 = p.node_id JOIN v_mesh_node q ON n2 = q.node_id JOIN v_mesh_node s ON n3 = s.node_id),
+link AS (SELECT o.ele_id AS src, n.ele_id AS dst, sqrt((c.x - d.x) * (c.x - d.x) + (c.y - d.y) * (c.y - d.y)) AS dist FROM own o JOIN own n ON o.a = n.a AND o.b = n.b AND o.ele_id <> n.ele_id JOIN centre c ON c.ele_id = o.ele_id JOIN centre d ON d.ele_id = n.ele_id),
+best AS (SELECT 0 AS i, ele_id, CASE WHEN ele_id = 1 THEN CAST(0 AS DOUBLE) END AS cost, CASE WHEN ele_id = 1 THEN 0 END AS prev FROM v_mesh_element
+  UNION ALL SELECT i + 1, b.ele_id, coalesce(least(b.cost, n.cost), b.cost, n.cost), CASE WHEN b.cost IS NULL OR n.cost < b.cost THEN n.src ELSE b.prev END
+  FROM best b LEFT JOIN LATERAL (SELECT min(p.cost + l.dist) AS cost, arg_min(l.src, (p.cost + l.dist, l.src)) AS src FROM link l JOIN best p ON p.ele_id = l.src WHERE l.dst = b.ele_id AND p.cost IS NOT NULL) n ON true
+  WHERE i < (SELECT 3 * ncol + 20 FROM v_dim)),
+done AS (SELECT ele_id, prev FROM best WHERE i = (SELECT max(i) FROM best)),
+back AS (SELECT 0 AS k, max(ele_id) AS ele_id FROM v_mesh_element UNION ALL SELECT k + 1, prev FROM back JOIN done USING (ele_id) WHERE prev <> 0)
+SELECT CAST(row_number() OVER (ORDER BY k DESC) AS INTEGER) AS seq, ele_id FROM back"""
+
+
+@query(PATHS)
 def m11_shortest_path(v):
+    """The path from the first element to the last one."""
     last = v("v_mesh_element").agg(F.max("ele_id")).first()[0]
     return M.shortest_path(v("v_mesh_node"), v("v_mesh_element"), 1, last)
 

@@ -10,6 +10,8 @@ from estuary.operators import observations as V
 from estuary.plans.base import Book
 from estuary.plans.q_extract import SIGMA, sigma
 from estuary.plans.q_mesh import EDGE, REGION, region
+from estuary.session import scratch
+from estuary.sources import store
 
 BOOK = Book()
 query = BOOK.query
@@ -41,7 +43,9 @@ def pairs(v):
 
 @query("SELECT * FROM v_obs WHERE parameter_id = 'no3'", r="depth value", t="ts")
 def s7_read_obs(v):
-    return v("v_obs").where("parameter_id = 'no3'")
+    path = scratch(v.spark, "observations")
+    store.write_table(v("v_obs"), path, "parquet")
+    return store.read_obs(v.spark, path).where("parameter_id = 'no3'")
 
 
 @query(f"WITH {INSIDE} SELECT id, location_id, ts, depth, value FROM v_obs WHERE parameter_id IN ('o2', 'no3') AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND location_id IN (FROM inside) AND id % 13 <> 0", r="depth value", t="ts")
@@ -129,14 +133,14 @@ def v13_pick_layers(v):
     return V.pick_layers(pairs(v), 10)
 
 
-NEAR = f"{LAYERED}, near AS (SELECT *, abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) AS gap FROM layered WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) <= 2 * 86400000000 AND (location_id < 5 OR cast_id IS NULL))"
+NEAR = f"{LAYERED}, near AS (SELECT *, abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) AS gap FROM layered WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15')) <= 2 * 86400000000)"
 
 
 @query(f"""WITH {NEAR}, c AS (SELECT location_id, cast_id, row_number() OVER (PARTITION BY location_id ORDER BY abs(avg(epoch_us(ts)) - epoch_us(TIMESTAMP '2024-01-15')), cast_id) AS i FROM near WHERE cast_id IS NOT NULL GROUP BY location_id, cast_id)
 SELECT id, location_id, cast_id, layer FROM near JOIN c USING (location_id, cast_id) WHERE i = 1
 UNION ALL SELECT id, location_id, cast_id, layer FROM (SELECT *, row_number() OVER (PARTITION BY location_id, layer ORDER BY gap, id) AS i FROM near WHERE location_id NOT IN (SELECT location_id FROM c)) WHERE i = 1""")
 def v14_best_obs(v):
-    return V.best_obs(layered(v).where("location_id < 5 OR cast_id IS NULL"), datetime.datetime(2024, 1, 15), 2)
+    return V.best_obs(layered(v), datetime.datetime(2024, 1, 15), 2)
 
 
 @query("""WITH m AS (SELECT ts + INTERVAL 8 HOURS AS ts, v / 10 AS observed FROM v_hourly), j AS (SELECT ts, observed, n AS modelled FROM m JOIN v_hourly USING (ts)), k AS (SELECT * FROM j WHERE ts >= (SELECT min(ts) FROM j) + INTERVAL 5 DAYS)

@@ -161,14 +161,20 @@ def b8_volume_budget(v):
     return B.volume_budget(storage(v), exchange(v), rivers(v))
 
 
-@query(f"WITH {STORAGE}, sx AS (SELECT ts, sum(CASE WHEN q > 0 THEN q * salt * (1 + zeta / h) ELSE 0 END) AS s_in, sum(CASE WHEN q < 0 THEN q * salt * (1 + zeta / h) ELSE 0 END) AS s_out FROM v_section_flux WHERE section = 'view' GROUP BY ts) SELECT ts, derivative AS dsdt, s_in, s_out, -derivative + s_in + s_out AS error FROM deriv LEFT JOIN sx USING (ts)", r="dsdt s_in s_out error", t="ts")
+SALT = f"{STORAGE}, sx AS (SELECT ts, sum(CASE WHEN q > 0 THEN q * salt * (1 + zeta / h) ELSE 0 END) AS s_in, sum(CASE WHEN q < 0 THEN q * salt * (1 + zeta / h) ELSE 0 END) AS s_out FROM v_section_flux WHERE section = 'view' GROUP BY ts) SELECT ts, derivative AS dsdt, s_in, s_out, -derivative + s_in + s_out AS error FROM deriv LEFT JOIN sx USING (ts)"
+
+
+@query(f"WITH {SALT}", r="dsdt s_in s_out error", t="ts")
 def b9_salt_budget(v):
     one = v("v_section_flux").where("section = 'view'")
     salt = T.prism_salt(one, one.select("section").distinct().withColumn("into", F.lit(True))).select("ts", F.col("salt_in").alias("s_in"), F.col("salt_out").alias("s_out"))
     return B.salt_budget(storage(v).withColumnRenamed("dvdt", "dsdt"), salt)
 
 
-@query(f"WITH {STORAGE}, base AS (SELECT ts, derivative AS dcdt, q_in, q_r FROM deriv LEFT JOIN ex USING (ts) LEFT JOIN riv USING (ts)), {godin_sql('base', ['dcdt', 'q_in', 'q_r'], 'g')} SELECT *, dcdt - coalesce(q_in, 0) - coalesce(q_r, 0) AS source_sink FROM g WHERE dcdt IS NOT NULL", r="dcdt:9 q_in:9 q_r:9 source_sink:9", t="ts")
+CONSTITUENT = f"{STORAGE}, base AS (SELECT ts, derivative AS dcdt, q_in, q_r FROM deriv LEFT JOIN ex USING (ts) LEFT JOIN riv USING (ts)), {godin_sql('base', ['dcdt', 'q_in', 'q_r'], 'g')} SELECT *, dcdt - coalesce(q_in, 0) - coalesce(q_r, 0) AS source_sink FROM g WHERE dcdt IS NOT NULL"
+
+
+@query(f"WITH {CONSTITUENT}", r="dcdt:9 q_in:9 q_r:9 source_sink:9", t="ts")
 def b10_constituent_budget(v):
     terms = rivers(v).join(exchange(v), "ts", "left").select("ts", "q_in", "q_r")
     return B.constituent_budget(storage(v).withColumnRenamed("dvdt", "dcdt"), terms, ["q_in", "q_r"])
@@ -181,4 +187,45 @@ def b11_error_stats(v):
 
 @query(f"WITH {VOLUME} SELECT avg(error) AS mean_error, 100 * avg(error) / avg(q_r) AS pct_of_rivers, avg(abs(error)) / avg(abs(dvdt)) AS abs_per_storage, sqrt(avg(error * error)) AS rmse FROM (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM vb WHERE error IS NOT NULL) WHERE i > 5", r="mean_error pct_of_rivers abs_per_storage rmse")
 def b12_tef_budget(v):
-    return B.tef_budget(v("v_hourly").select("ts", F.col("v").alias("volume")), exchange(v), rivers(v), HOUR, skip=5)[1]
+    return B.tef_budget(v("v_hourly").select("ts", F.col("v").alias("volume")), exchange(v), rivers(v), HOUR, skip=5)["stats"]
+
+
+SECTIONS = ("click", "error", "purchase", "signup", "view")
+
+
+def of_sections(sql: str) -> str:
+    """The SQL of section 'view' for every section, with its name."""
+    return " UNION ALL ".join(f"SELECT '{x}' AS section, * FROM (WITH {sql.replace(chr(39) + 'view' + chr(39), chr(39) + x + chr(39))})" for x in SECTIONS)
+
+
+def budgets(v):
+    """The budgets of all sections at once: the section is the key."""
+    flux = v("v_section_flux")
+    into = flux.select("section").distinct().withColumn("into", F.lit(True))
+    salt = T.prism_salt(flux, into).select("section", "ts", F.col("salt_in").alias("s_in"), F.col("salt_out").alias("s_out"))
+    both = T.prism_transport(flux, into).join(salt, ["section", "ts"])
+    series = v("v_hourly").select("ts", F.col("v").alias("volume"), F.col("v").alias("v_salt"), F.col("v").alias("v_doxg"))
+    storage = series.join(flux.select("section").distinct(), how="cross")
+    return B.tef_budget(storage, both, rivers(v), HOUR, {"doxg": ["q_in", "q_r"]}, skip=5, keys=["section"])
+
+
+@query(of_sections(f"{VOLUME} SELECT * FROM vb"), r="dvdt:9 q_in:9 q_out:9 q_r:9 error:9", t="ts")
+def b12_tef_volumes(v):
+    return budgets(v)["volume"]
+
+
+@query(of_sections(f"{VOLUME} SELECT avg(error) AS mean_error, 100 * avg(error) / avg(q_r) AS pct_of_rivers, avg(abs(error)) / avg(abs(dvdt)) AS abs_per_storage, sqrt(avg(error * error)) AS rmse FROM (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM vb WHERE error IS NOT NULL) WHERE i > 5"), r="mean_error pct_of_rivers abs_per_storage rmse")
+def b12_tef_stats(v):
+    stats = budgets(v)["stats"]
+    every = v("v_section_flux").select("section").distinct()
+    return every.join(stats, "section", "left")
+
+
+@query(of_sections(f"{SALT}"), r="dsdt s_in s_out error", t="ts")
+def b12_tef_salt(v):
+    return budgets(v)["salt"]
+
+
+@query(of_sections(f"{CONSTITUENT}"), r="dcdt:9 q_in:9 q_r:9 source_sink:9", t="ts")
+def b12_tef_constituent(v):
+    return budgets(v)["doxg"]

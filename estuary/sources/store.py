@@ -35,9 +35,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def read_obs(spark: SparkSession, source: str, table: str = "observations", partitions: int = 16, **options: str) -> DataFrame:
-    """Observations from a Parquet path, or from a database by JDBC in partitions of the id, with filters pushed down."""
+    """Observations from a Parquet path, or from a database by JDBC in partitions of the id, with filters pushed down.
+
+    The database finds the least and greatest id itself; its own spelling and quoting of the column are used.
+    """
     if not source.startswith("jdbc:"):
         return spark.read.parquet(source)
-    reader = spark.read.format("jdbc").option("url", source).options(**options)
-    low, high = reader.option("query", f"SELECT min(id) AS lo, max(id) AS hi FROM {table}").load().first()
-    return spark.read.format("jdbc").option("url", source).options(**options).option("dbtable", table).option("partitionColumn", "id").option("lowerBound", low or 0).option("upperBound", high or 1).option("numPartitions", partitions).load()
+    reader = lambda **more: spark.read.format("jdbc").options(url=source, **options, **more)
+    key = next(c for c in reader(dbtable=table).load().columns if c.lower() == "id")
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(source).quoteIdentifier(key)
+    low, high = reader(query=f"SELECT min({quoted}) AS lo, max({quoted}) AS hi FROM {table}").load().first()
+    return reader(dbtable=table, partitionColumn=key, lowerBound=low or 0, upperBound=high or 1, numPartitions=partitions).load()

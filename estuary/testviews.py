@@ -1,4 +1,8 @@
-"""Views over the driver's tables that give every operator canonical input: the same SQL for Spark and DuckDB."""
+"""Views over the driver's tables that give every operator canonical input: the same SQL for Spark and DuckDB.
+
+The mesh is a lattice of five rows of nodes, so its cells have the rows 0 to 3; r < 4 in v_mesh_element is that, and
+cuts nothing off.
+"""
 
 from __future__ import annotations
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from estuary.operators import extraction as X
 from estuary.operators import loadings as L
 from estuary.operators import mesh as M
+from estuary.plans import registry
 from estuary.sources import history
 
 CHANNEL_XY = "2,0 4,0 3,1 2,2 4,2 1,3 3,3 5,3 0,4 2,4 4,4 6,4 1,5 3,5 5,5 2,6 4,6 3,7 2,8 4,8"
@@ -154,14 +155,88 @@ def test_eof_rebuilds_the_field(spark):
         assert math.isclose(rebuilt, x * w[n] - mean, abs_tol=1e-6)
 
 
+def test_eof_of_the_given_tables_equals_svd(spark, small):
+    """The registered query over whole tables against NumPy, whatever the size of tiles and blocks."""
+    import numpy as np
+
+    from estuary.operators import eof as E
+    from estuary.plans.base import Inputs
+
+    v = Inputs(spark, small)
+    weights = {r.node_id: r.area * r.h for r in M.node_area(v("v_mesh_node"), v("v_mesh_element")).join(v("v_mesh_node").select("node_id", "h"), "node_id").collect()}
+    field = {}
+    for r in v("v_dense3d").where("layer = 10").collect():
+        field.setdefault(r.t, {})[r.node_id] = r.doxg
+    nodes = sorted(weights)
+    steps = sorted(t for t, x in field.items() if weights.keys() <= x.keys())
+    w = np.array([weights[n] for n in nodes]) / sum(weights.values())
+    x = np.array([[field[t][n] for n in nodes] for t in steps]) * w
+    b = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(len(nodes))
+    u, s, vt = np.linalg.svd(b, full_matrices=False)
+    rows = registry.queries()["d16_eof"](spark, small).collect()
+    for k in range(min(3, len(steps))):
+        mine = [r for r in rows if r["mode"] == k + 1]
+        pc = np.array([r.pc for r in sorted((r for r in mine if r.t is not None), key=lambda r: r.t)])
+        maps = np.array([r.eof_value for r in sorted((r for r in mine if r.node_id is not None), key=lambda r: r.node_id)])
+        sign = np.sign(u[np.abs(u[:, k]).argmax(), k])
+        assert np.allclose(pc, sign * u[:, k] * s[k], atol=1e-9) and math.isclose(mine[0].share, s[k] / s.sum(), rel_tol=1e-6)
+        assert np.allclose(maps, sign * vt[k] * np.sqrt(len(nodes)) / w, rtol=1e-5, atol=1e-6 * np.abs(maps).max())
+    rng = np.random.default_rng(2)
+    dense = rng.normal(size=(23, 17))
+    df = spark.createDataFrame([(t, n, float(dense[t, n])) for t in range(23) for n in range(17)], "t int, node_id int, b double")
+    for tile, block in ((5, 4), (23, 17), (100, 3)):
+        order, g = E.gram(df, 17, tile, block)
+        assert order == list(range(23)) and np.allclose(g, dense @ dense.T / 17)
+
+
+def test_stations_far_from_all_nodes(spark):
+    from estuary.operators.observations import nearest_node
+
+    nodes = spark.createDataFrame([(i, 100.0 * i, 50.0 * (i % 3)) for i in range(1, 40)], "node_id int, x double, y double")
+    places = [(1, 10.0, 10.0), (2, 90_000.0, -4e6), (3, 2_000.0, 30_000.0), (4, -1e7, 1e7)]
+    spots = spark.createDataFrame([*places, (5, None, 1.0)], "location_id int, x double, y double")
+    got = {r.location_id: (r.node_id, r.dist) for r in nearest_node(spots, nodes).collect()}
+    want = {k: min((math.hypot(100.0 * i - x, 50.0 * (i % 3) - y), i) for i in range(1, 40)) for k, x, y in places}
+    assert set(got) == set(want) and all(got[k][0] == i and math.isclose(got[k][1], d) for k, (d, i) in want.items())
+    assert nearest_node(spots, nodes.limit(0)).count() == nearest_node(spots.limit(0), nodes).count() == 0
+
+
+def test_observations_of_a_database(spark):
+    """Partitions by id and pushed filters over an embedded database."""
+    from estuary.sources.store import read_obs
+
+    url, driver = "jdbc:derby:memory:obs", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(100).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") % 3 == 0, "no3").otherwise("o2").alias("parameter_id"), (F.col("id") / 4).alias("value"))
+    rows.write.format("jdbc").option("url", f"{url};create=true").option("driver", driver).option("dbtable", "observations").option("createTableColumnTypes", "parameter_id VARCHAR(10)").save()
+    back = read_obs(spark, url, partitions=3, driver=driver)
+    assert back.rdd.getNumPartitions() == 3
+    names = [c.lower() for c in back.columns]
+    assert back.toDF(*names).exceptAll(rows).count() == rows.exceptAll(back.toDF(*names)).count() == 0
+    some = read_obs(spark, url, partitions=3, driver=driver).where("parameter_id = 'no3'")
+    assert some.count() == 34 and "PushedFilters: [" in some._jdf.queryExecution().toString() and "EqualTo(" in some._jdf.queryExecution().toString()
+
+
+def test_budget_parts_and_missing_columns(spark):
+    from estuary.operators import budgets as B
+
+    one = spark.range(3).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.lit(1.0).alias("volume"))
+    with pytest.raises(ValueError, match="q_in, q_out, v_no3"):
+        B.tef_budget(one, one, one.withColumn("q_r", F.lit(0.0)), 3600.0, {"no3": []})
+
+
 def test_live_feed(spark, tmp_path):
+    """Exact means over steps, also where a step is empty of low values, as windows close."""
     from estuary.streaming.live import area_below_stream
 
-    rows = spark.sql("SELECT 'a' AS run, TIMESTAMP '2024-01-01 06:00:00' AS ts, id AS node_id, CAST(id AS DOUBLE) AS v FROM range(1, 5)")
+    rows = spark.sql("""SELECT 'a' AS run, ts, id AS node_id, CAST(id AS DOUBLE) + up AS v FROM range(1, 5), VALUES
+        (TIMESTAMP '2024-01-01 06:00:00', 0), (TIMESTAMP '2024-01-01 07:00:00', 1), (TIMESTAMP '2024-01-01 08:00:00', 9), (TIMESTAMP '2024-01-09 00:00:00', 0) AS s(ts, up)""")
     rows.write.parquet(str(tmp_path / "feed"))
     areas = spark.range(1, 5).select(F.col("id").alias("node_id"), F.lit(1e6).alias("area"))
     feed = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "feed"))
-    q = area_below_stream(feed, areas, "v", 3.0).writeStream.format("memory").queryName("live").outputMode("complete").start()
+    q = area_below_stream(feed, areas, "v", 3.0).writeStream.format("memory").queryName("live").outputMode("append").start()
+    q.processAllAvailable()
+    rows.where("node_id < 2").selectExpr("run", "ts + INTERVAL 9 DAYS AS ts", "node_id", "v").write.mode("append").parquet(str(tmp_path / "feed"))
     q.processAllAvailable()
     q.stop()
-    assert [r.area_km2 for r in spark.sql("SELECT * FROM live").collect()] == [2.0]
+    out = spark.sql("SELECT window.start, area_km2 FROM live ORDER BY 1").collect()
+    assert str(out[0][0]) == "2024-01-01 00:00:00" and out[0].area_km2 == 1.0
