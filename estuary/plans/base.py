@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estuary import testviews
-from estuary.session import table
+from estuary.session import table, written
 
 
 class Inputs:
@@ -16,8 +16,14 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.meshes: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
+        if name.startswith("v_mesh_"):
+            # a mesh is a table of its own: the queries name it many times, and the view reads all events for it
+            if name not in self.meshes:
+                self.meshes[name] = written(testviews.view(self.spark, self.sf_dir, name), name)
+            return self.meshes[name]
         if name.startswith("v_"):
             return testviews.view(self.spark, self.sf_dir, name)
         return table(self.spark, self.sf_dir, name)
