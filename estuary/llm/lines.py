@@ -25,17 +25,18 @@ SALTS = 64
 SENTENCE = re.compile(r"[^.!?]+[.!?]*|[.!?]+")
 
 
-def units_of(text: str, least_words: int = LEAST_WORDS, least_sentence: int = LEAST_SENTENCE):
+def units_of(text: str, least_words: int = LEAST_WORDS, least_sentence: int | None = LEAST_SENTENCE):
     """(start, stop, words) of the units of a text in order, in code points: a line, then the sentences within it.
 
-    Words are in lower case with single spaces. A sentence that is all of its line is no unit of its own.
+    Words are in lower case with single spaces. A sentence that is all of its line is no unit of its own; without
+    least_sentence there are lines alone.
     """
     at = 0
     for line in text.split("\n"):
         words = line.lower().encode().split()
         if len(words) >= least_words:
             yield at, at + len(line), b" ".join(words)
-        if len(words) > least_sentence:
+        if least_sentence and len(words) > least_sentence:
             for m in SENTENCE.finditer(line):
                 part = m[0].lower().encode().split()
                 if least_sentence <= len(part) < len(words):
@@ -43,7 +44,7 @@ def units_of(text: str, least_words: int = LEAST_WORDS, least_sentence: int = LE
         at += len(line) + 1
 
 
-def units(rows: DataFrame, least_words: int, least_sentence: int) -> DataFrame:
+def units(rows: DataFrame, least_words: int, least_sentence: int | None) -> DataFrame:
     """(row, id, unit, high, low): the units of every text by number, with a 128-bit digest."""
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("unit", "high", "low"))])
 
@@ -65,7 +66,7 @@ def units(rows: DataFrame, least_words: int, least_sentence: int) -> DataFrame:
     return rows.select("row", "id", "text").mapInArrow(split, schema)
 
 
-def cut_text(text: str, gone: set[int], least_words: int, least_sentence: int) -> tuple[str, list[tuple[int, int]]]:
+def cut_text(text: str, gone: set[int], least_words: int, least_sentence: int | None) -> tuple[str, list[tuple[int, int]]]:
     """The text without the units of these numbers, and the spans taken out; a line goes with its line end."""
     spans: list[tuple[int, int]] = []
     for number, (start, stop, _) in enumerate(units_of(text, least_words, least_sentence)):
@@ -84,17 +85,19 @@ def cut_text(text: str, gone: set[int], least_words: int, least_sentence: int) -
     return "\n".join(kept), spans
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, least_sentence: int = LEAST_SENTENCE) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, least_sentence: int | None = LEAST_SENTENCE) -> DataFrame:
     """One row for each document: doc_id, text (what stays), removed (start and stop of what goes) and n_removed.
 
     A line of least_words or more, or a sentence of least_sentence or more inside a line, goes if an equal unit stands
     earlier: in a document of smaller id, or before it in the same document. Sentences catch passages that stand in
-    the middle of different lines. Shorter units always stay.
+    the middle of different lines; with least_sentence None lines go or stay as wholes. Shorter units always stay.
 
     Only digests and offsets are grouped: each task sends one row for a digest, then every occurrence joins the first
     place of its digest. Digests that make up over a thousandth of the repeated occurrences, so under a thousand, have
-    their occurrences dealt to SALTS parts in that join. Null or empty text: empty, nothing removed. Rows that repeat
-    an id count as separate documents in file order. Null ids come first. Empty table: no rows.
+    their occurrences dealt to SALTS parts in that join. Null or empty text: empty, nothing removed. Texts of
+    any length are read whole; what is grouped by document is one number for each unit that goes. Rows that repeat an id
+    count as separate documents in file order. Null ids come first. Other columns are ignored, whatever their names.
+    Empty table: no rows.
     """
     rows = written(keyed_texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lines-rows")
     found = units(rows, least_words, least_sentence)

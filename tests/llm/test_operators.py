@@ -399,6 +399,14 @@ def test_lines_of_odd_documents(odd_docs):
     assert {r.text for r in out if r.doc_id in (2, 3)} == {""}
 
 
+def test_whole_lines_alone(odd_docs):
+    out = lines.dedup_lines(odd_docs, least_sentence=None).collect()
+    assert len(out) == odd_docs.count() and {r.text for r in out if r.doc_id in (2, 3)} == {""}
+    text = "One two three four five six seven eight nine. One two three four five six seven eight nine."
+    assert [u[2].count(b" ") for u in lines.units_of(text, 5, None)] == [17]
+    assert len(list(lines.units_of(text, 5, 8))) == 3
+
+
 def test_passages_inside_different_lines(spark):
     passage = "Here are nine words that all stand in order. Then come eight more words that also repeat! And so on"
     rows = [(2, f"First some text of its own. {passage} and other things.\nLast."), (1, f"Quite another beginning {passage}, elsewhere."), (3, "Then come eight more words that also repeat!")]
