@@ -173,9 +173,12 @@ def l14_normalize(v):
 
 
 PEAKS = f"""{CLIM}, norm AS (SELECT river, day, round(discharge / sum(discharge) OVER (PARTITION BY river), 12) AS y, row_number() OVER (PARTITION BY river ORDER BY day) AS i FROM clim WHERE discharge IS NOT NULL),
-lowest AS (SELECT a.river, a.i, a.day, a.y, (SELECT coalesce(max(b.i), 0) FROM norm b WHERE b.river = a.river AND b.i < a.i AND b.y > a.y) AS lo, (SELECT coalesce(min(b.i), 100000) FROM norm b WHERE b.river = a.river AND b.i > a.i AND b.y > a.y) AS hi FROM norm a),
-pk AS (SELECT p.river, p.day, p.y, p.y - greatest(min(n.y) FILTER (n.i < p.i), min(n.y) FILTER (n.i > p.i)) AS prominence FROM lowest p JOIN norm n ON n.river = p.river AND n.i > p.lo AND n.i < p.hi
-  JOIN norm l ON l.river = p.river AND l.i = p.i - 1 AND l.y < p.y JOIN norm r ON r.river = p.river AND r.i = p.i + 1 AND r.y < p.y GROUP BY p.river, p.day, p.y)"""
+numbered AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY river ORDER BY i) AS run FROM (SELECT *, y IS DISTINCT FROM lag(y) OVER (PARTITION BY river ORDER BY i) AS new FROM norm)),
+flat AS (SELECT river, run AS i, any_value(y) AS y, min(i) AS a, max(i) AS b FROM numbered GROUP BY river, run),
+runs AS (SELECT f.river, f.i, f.y, n.day FROM flat f JOIN norm n ON n.river = f.river AND n.i = (f.a + f.b) // 2),
+lowest AS (SELECT a.river, a.i, a.day, a.y, (SELECT coalesce(max(b.i), 0) FROM runs b WHERE b.river = a.river AND b.i < a.i AND b.y > a.y) AS lo, (SELECT coalesce(min(b.i), 100000) FROM runs b WHERE b.river = a.river AND b.i > a.i AND b.y > a.y) AS hi FROM runs a),
+pk AS (SELECT p.river, p.day, p.y, p.y - greatest(min(n.y) FILTER (n.i < p.i), min(n.y) FILTER (n.i > p.i)) AS prominence FROM lowest p JOIN runs n ON n.river = p.river AND n.i > p.lo AND n.i < p.hi
+  JOIN runs l ON l.river = p.river AND l.i = p.i - 1 AND l.y < p.y JOIN runs r ON r.river = p.river AND r.i = p.i + 1 AND r.y < p.y GROUP BY p.river, p.day, p.y)"""
 
 
 @query(f"WITH {PEAKS} SELECT river, day, y AS share, prominence FROM pk", r="share:8 prominence:8")

@@ -202,7 +202,7 @@ across AS (SELECT u.node_id AS a, d.node_id AS b FROM sd u JOIN sd d USING (sect
 link AS (SELECT a, b FROM (SELECT a, b FROM edge UNION SELECT b, a FROM edge) EXCEPT (SELECT a, b FROM across UNION SELECT b, a FROM across)),
 reach AS (SELECT node_id AS seed, node_id FROM sd UNION SELECT seed, b FROM reach JOIN link ON node_id = a),
 comp AS (SELECT seed, min(node_id) AS label FROM reach GROUP BY seed),
-pick AS (SELECT label FROM sd JOIN comp ON sd.node_id = seed GROUP BY label HAVING count(DISTINCT section) = 2 ORDER BY count(*) FILTER (upstream) DESC, label LIMIT 1)
+pick AS (SELECT label FROM sd JOIN comp ON sd.node_id = seed GROUP BY label HAVING count(DISTINCT section) = (SELECT count(DISTINCT section) FROM sd) ORDER BY count(*) FILTER (upstream) DESC, label LIMIT 1)
 SELECT DISTINCT node_id FROM reach JOIN comp USING (seed) WHERE label = (SELECT label FROM pick)""")
 def m19_control_volume(v):
     ends = sections(v).where("section in ('s0001', 's0003')")

@@ -117,7 +117,7 @@ def b3_time_derivative(v):
 
 
 @query("""WITH k AS (SELECT ts, v FROM v_hourly WHERE n > 0), q AS (SELECT ts + INTERVAL 20 MINUTES AS ts FROM v_hourly WHERE ts < (SELECT max(ts) FROM v_hourly))
-SELECT q.ts, arg_max(k.v, k.ts) + (20.0 / 60) * (arg_min(n.v, n.ts) - arg_max(k.v, k.ts)) AS v FROM q JOIN k ON k.ts = q.ts - INTERVAL 20 MINUTES JOIN k n ON n.ts = q.ts + INTERVAL 40 MINUTES GROUP BY q.ts""", r="v", t="ts")
+SELECT q.ts, k.v + (epoch(q.ts) - epoch(k.ts)) / (epoch(n.ts) - epoch(k.ts)) * (n.v - k.v) AS v FROM q ASOF JOIN k ON k.ts <= q.ts ASOF JOIN k n ON n.ts >= q.ts""", r="v", t="ts")
 def b4_interp_to(v):
     last = v("v_hourly").agg(F.max("ts").alias("last"))
     asked = hourly(v).join(last, how="cross").where("ts < last").select("run", (F.col("ts") + F.expr("INTERVAL 20 MINUTES")).alias("ts"))
