@@ -55,3 +55,24 @@ def test_section_paths_pass_their_waypoints(spark):
     assert turned == out["a"][::-1]
     with pytest.raises(ValueError):
         M.section_paths(nodes, elements, stops.where("seq = 0"))
+
+
+def test_intermediate_tables_can_be_deleted(tmp_path):
+    """In a process of its own, as other tests of this session still read theirs."""
+    import pathlib
+    import subprocess
+    import sys
+
+    code = f"""
+from estuary.session import clear_scratch, local_session, run_dir, written
+import os
+spark = local_session("1", **{{"spark.checkpoint.dir": "file://{tmp_path}"}})
+assert written(spark.range(3), "three").count() == 3 and written(spark.range(2), "two", compression="gzip").count() == 2
+folder = run_dir(spark).removeprefix("file://")
+assert len(os.listdir(folder)) == 2
+clear_scratch(spark)
+assert not os.path.exists(folder)
+print("cleared")
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parent.parent, capture_output=True, text=True, timeout=120)
+    assert "cleared" in out.stdout, out.stderr[-2000:]
