@@ -110,13 +110,39 @@ def gradient_weights(nodes: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def velocity_slopes(flow: DataFrame, weights: DataFrame, keys: list[str], walls: bool = True) -> DataFrame:
-    """(keys, ele_id, u_x, u_y, v_x, v_y): least-squares slopes of the velocity; with walls, it is zero beyond a boundary edge."""
-    nei = flow.select(*keys, F.col("ele_id").alias("nei_id"), F.col("u").alias("un"), F.col("v").alias("vn"))
-    rows = flow.join(weights if walls else weights.where("nei_id <> 0"), "ele_id").join(nei, [*keys, "nei_id"], "left")
-    wall = F.col("nei_id") == 0
-    du, dv = (F.when(wall, 0.0).otherwise(F.col(f"{c}n")) - F.col(c) for c in "uv")
-    sums = [F.sum(F.col(w) * d).alias(f"{c}_{w[1]}") for c, d in (("u", du), ("v", dv)) for w in ("wx", "wy")]
-    return rows.groupBy(*keys, "ele_id").agg(*sums)
+    """(keys, ele_id, u_x, u_y, v_x, v_y): least-squares slopes of the velocity; with walls, it is zero beyond a boundary edge.
+
+    A slope is the sum of weight times (neighbour less own value). Each element sends its weighted values to its
+    neighbours, three at most, and its own value to itself, so the field joins the small mesh only and is grouped once.
+    A neighbour that lacks leaves its term out.
+    """
+    used = weights if walls else weights.where("nei_id <> 0")
+    beyond = lambda w, axis: F.when(F.col("nei_id") == 0, F.col(w)).alias(f"wall_{axis}")
+    nothing = [F.lit(None).cast("double").alias(f"wall_{axis}") for axis in "xy"]
+    out = F.struct(F.col("ele_id").alias("to"), "wx", "wy")
+    ends = F.array(
+        F.struct(F.col("ele_id").alias("e"), F.lit(True).alias("own"), beyond("wx", "x"), beyond("wy", "y"), F.when(F.lit(False), out).alias("sent")),
+        F.struct(F.col("nei_id").alias("e"), F.lit(None).cast("boolean").alias("own"), *nothing, F.when(F.lit(True), out).alias("sent")),
+    )
+    each = used.select(F.explode(ends).alias("p")).select("p.*").where("e <> 0")
+    mesh = each.groupBy(F.col("e").alias("ele_id")).agg(F.max("own").alias("own"), F.sum("wall_x").alias("wall_x"), F.sum("wall_y").alias("wall_y"), F.collect_list("sent").alias("sent"))
+    none = F.lit(None).cast("double")
+    itself = F.array(F.struct(F.col("ele_id").alias("to"), none.alias("wx"), none.alias("wy")))
+    rows = flow.join(mesh, "ele_id").select(*keys, "ele_id", "u", "v", "own", "wall_x", "wall_y", F.explode(F.concat(itself, "sent")).alias("s"))
+    here = F.col("s.to") == F.col("ele_id")
+    parts = [F.max(F.when(here, F.col("own"))).alias("own"), *(F.max(F.when(here, F.col(c))).alias(c) for c in ("u", "v", "wall_x", "wall_y"))]
+    for c in "uv":
+        for axis in "xy":
+            w = F.col(f"s.w{axis}")
+            parts += [F.sum(F.when(~here, w * F.col(c))).alias(f"{c}_{axis}"), F.sum(F.when(~here & F.col(c).isNotNull(), w)).alias(f"w_{c}_{axis}")]
+    sums = rows.groupBy(*keys, F.col("s.to").alias("ele_id")).agg(*parts).where("own")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def slope(c: str, axis: str) -> Column:
+        near, wall = f"w_{c}_{axis}", f"wall_{axis}"
+        return F.when(F.coalesce(near, wall).isNotNull(), zero(f"{c}_{axis}") - F.col(c) * (zero(near) + zero(wall))).alias(f"{c}_{axis}")
+
+    return sums.select(*keys, "ele_id", *(slope(c, axis) for c in "uv" for axis in "xy"))
 
 
 def vorticity(flow: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
