@@ -23,7 +23,7 @@ ROUNDS = 6
 END_ID = 50256
 END = np.array([END_ID], "<u2")
 #: Token ids in a group, and bytes of ids that make the dictionary sequences are compressed with on their way.
-GROUP_IDS, DICTIONARY = 1 << 20, 110_000
+GROUP_IDS, DICTIONARY = 1 << 18, 110_000
 #: After each record stand two zero bytes: the row separator of Spark's text writer. A record takes 2 * length + 2 bytes.
 SEPARATOR = "\x00\x00"
 #: Row groups of the table of ids: a reader holds one at a time, and large reads stay in a JVM's buffers for good.
