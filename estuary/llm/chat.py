@@ -56,7 +56,9 @@ def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
     """Each chosen root-to-leaf path as one conversation.
 
     messages: tree, node, parent, role, text, score. Paths are ranked in their tree by the sum of their scores (null:
-    0), then by leaf; top keeps the best ones. Returns tree, leaf, rank, score, n_turns, formatted, and loss_spans,
+    0), then by leaf; top keeps the best ones. Ranking takes all paths of a tree in one task, sorted with spilling, and a
+    path is a row, so both are bounded by a tree and a conversation and not by the table. Texts of any length are kept
+    whole. Returns tree, leaf, rank, score, n_turns, formatted, and loss_spans,
     the code point ranges of the assistant's texts in formatted. A null role or text is an empty one. Repeated rows of
     a (tree, node) count once, the least of them. Empty table: no rows. Other columns are ignored.
     """
