@@ -179,33 +179,34 @@ def chain_key(words: list[Column], start: Column | int, step: Column | int, chai
 
 
 def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, paired: int = PAIRED) -> DataFrame:
-    """Links (a, b) between fps whose wide fingerprints (fp, w1, w2, w3) are within the radius.
+    """Links (a, b) between fps whose wide fingerprints (fp, w1, w2, w3) are within the radius, enough for components.
 
     Each chain of three segments of eight bits, consecutive in one of two orders of the ring, is a key, so a pair is
     met where it agrees in the 24 bits of one of 64 chains; candidates must keep to the pigeonring's budgets, then to
-    the radius. A key of up to `paired` fingerprints yields its pairs. In a larger one each member is held against one
-    of them, the smallest, and the members are keyed again by chains of twice the length, where the same holds; so the
+    the radius. The members of a key within the radius of the smallest are linked to it and to no one another, as that
+    makes them one component. A key of up to `paired` fingerprints yields its other pairs. In a larger one the members
+    are keyed again by chains of twice the length, where the same holds but for pairs that are linked already; so the
     work grows with the number of rows. The search is not exact: the README has its recall.
     """
     words = ["fp", *(f"w{i}" for i in range(1, WORDS))]
     here = [F.col(w) for w in words]
     rings = WORDS * 64 // BITS
     keys = F.array(*(F.struct(F.lit(i).alias("ring"), F.lit(step).alias("step"), chain_key(here, i, step, CHAIN).alias("part")) for step in STEPS for i in range(rings)))
-    keyed = distinct.select(*words, F.explode(keys).alias("key")).select(*words, "key.*")
+    keyed = distinct.select(*words, F.lit(False).alias("known"), F.explode(keys).alias("key")).select(*words, "known", "key.*")
     on, found = ["ring", "step", "part"], []
     for chain in (CHAIN, LONG_CHAIN):
         if chain == LONG_CHAIN:
-            keyed = large.select(*words, "ring", "step", chain_key(here, F.col("ring"), F.col("step"), chain).alias("part"))
+            keyed = large.select(*words, F.col("near").alias("known"), "ring", "step", chain_key(here, F.col("ring"), F.col("step"), chain).alias("part"))
         sizes = keyed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
         met = written(keyed.join(sizes, on), "simhash-wide")
-        large = met.where(F.col("n") > paired)
-        left = met.where(F.col("n") <= paired).select(*on, *(F.col(w).alias(f"a_{w}") for w in words))
-        right = met.where(F.col("n") <= paired).select(*on, *words)
-        pairs = left.join(right, on).where(F.col("a_fp") < F.col("fp"))
+        least = met.groupBy(*on).agg(F.min(F.struct(*words, "known")).alias("least"))
+        near = wide_near([F.col(f"least.{w}") for w in words], here, radius)
+        met = written(met.join(least, on).select(*on, *words, "known", "n", near.alias("near"), F.col("least.fp").alias("hub"), (F.col("known") & F.col("least.known")).alias("joined")), "simhash-hubs")
+        found.append(met.where("near and not joined and hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+        few, large = met.where(F.col("n") <= paired), met.where(F.col("n") > paired)
+        left = few.select(*on, *(F.col(c).alias(f"a_{c}") for c in (*words, "near", "known")))
+        pairs = left.join(few, on).where("a_fp < fp and not (a_near and near) and not (a_known and known)")
         found.append(pairs.where(wide_near([F.col(f"a_{w}") for w in words], here, radius)).select(F.col("a_fp").alias("a"), F.col("fp").alias("b")))
-        middles = large.groupBy(*on).agg(F.min(F.struct(*words)).alias("least"))
-        star = large.join(middles, on).where(F.col("least.fp") < F.col("fp")).where(wide_near([F.col(f"least.{w}") for w in words], here, radius))
-        found.append(star.select(F.col("least.fp").alias("a"), F.col("fp").alias("b")))
     return functools.reduce(DataFrame.union, found).distinct()
 
 
