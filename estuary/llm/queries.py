@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estuary.llm import chat, decontaminate, html, licenses, lines, packing, pii, quality, simhash, training_order
+from estuary.llm import chat, collocations, decontaminate, fim, html, licenses, lines, packing, pii, quality, secrets, simhash, training_order
 from estuary.session import table
 
 
@@ -55,10 +55,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_training_order, op3_pii, op4_packing, op5_decontamination, op6_quality_rules, op7_line_dedup, op8_simhash_near_dedup, op9_license_scan, op9_all_notices, op10_html_extraction)
-}
+    for f in (
+        op1_chat_formatting, op2_training_order, op3_pii, op4_packing, op5_decontamination, op6_quality_rules, op7_line_dedup,
+        op8_simhash_near_dedup, op9_license_scan, op9_all_notices, op10_html_extraction, op11_fill_in_middle, op12_secret_scan,
+        op13_collocations,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": r"""
@@ -98,6 +114,36 @@ z AS (SELECT l.doc_id, l.r, coalesce(string_agg(coalesce(c.rest, l.line), chr(10
   FROM l LEFT JOIN c ON c.r = l.r AND c.i = l.i GROUP BY l.doc_id, l.r)
 SELECT z.doc_id, coalesce(y.n, 0) AS n_removed, coalesce(y.spans, '') AS removed, length(z.kept) AS kept_chars, sha256(z.kept) AS kept_sha256
 FROM z LEFT JOIN y ON y.r = z.r
+""",
+    "op11_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens FROM documents),
+h AS (SELECT *, CAST(len(tokens) AS BIGINT) AS n, CAST('0x' || hex[1:8] AS BIGINT) AS h1, CAST('0x' || hex[9:16] AS BIGINT) AS h2,
+    CAST('0x' || hex[17:24] AS BIGINT) AS h3, CAST('0x' || hex[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle, array_to_string(tokens[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+""",
+    "op13_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) r(k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+s AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+cut AS (SELECT lang, phrase, k, w, f AS a, unnest(range(1, k)) AS j FROM s WHERE k > 1),
+scored AS (SELECT c.lang, c.phrase, c.a, c.j, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f) AS BIGINT) AS score FROM cut c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+best AS (SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner0 AS (SELECT s.lang, s.f, w, k, m, unnest(range(1, k - m + 2)) AS i FROM s, range(2, 4) z(m) WHERE m < k),
+gone AS (SELECT DISTINCT q.lang, q.phrase FROM inner0 o JOIN f q ON q.lang = o.lang AND q.phrase = array_to_string(o.w[o.i:o.i + o.m - 1], ' ') WHERE 100 * o.f >= 80 * q.f),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best b WHERE NOT EXISTS (FROM gone g WHERE g.lang = b.lang AND g.phrase = b.phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM top JOIN n USING (lang) WHERE rank <= 2000
 """,
     "op9_license_scan": licenses.oracle(),
     "op9_all_notices": licenses.oracle_of_all(),
