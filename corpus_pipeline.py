@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estuary.llm import decontaminate, packing, pii, quality, simhash
+from estuary.llm import decontaminate, packing, pii, quality, similar, simhash
 from estuary.session import table, written
 
 
@@ -27,10 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id; of repeated rows with its id, one.
 
-    Groups are those of op8_simhash_near_dedup, and of wide fingerprints within a radius that texts of a similarity of
-    0.8 keep to. Null and empty texts form one group.
+    Groups are those of op8_simhash_near_dedup, joined by links between texts whose five-word shingles have a
+    similarity of 0.8, which is checked exactly. Null and empty texts form one group.
     """
-    kept = simhash.near_duplicates(docs, wide_radius=simhash.WIDE_RADIUS).where("doc_id = component_id").select("doc_id").distinct()
+    kept = simhash.near_duplicates(docs, similarity=similar.SIMILARITY).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 

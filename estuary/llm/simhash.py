@@ -20,11 +20,6 @@ RADIUS = 2
 SEGMENTS = 5
 #: Keys with more fingerprints than this take the way over shared neighbours instead of pairs.
 PAIRED = 48
-#: Wide fingerprints: words of 64 bits, the radius over all of them, bits of a segment, segments of a key and of a
-#: longer one, and the steps from segment to segment that make the orders of the ring.
-WORDS, WIDE_RADIUS = 4, 34
-BITS, CHAIN, LONG_CHAIN = 8, 3, 6
-STEPS = (1, 5)
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -57,32 +52,25 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def wide_fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
-    """256 bits as four words: fingerprint(), then three of the same hashes mixed anew."""
-    hashes = shingle_hashes(text, shingle, seed)
-    out = [majority(hashes)]
-    for turn in range(1, WORDS):
-        x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, bands: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with bands also size and bands, for similar.similar_links()."""
+    from estuary.llm import similar
 
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, wide: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; with wide also w1 to w3, the other words of wide_fingerprint()."""
     source = keyed_texts(docs, id_col, text_col)
-    names = ["fp", *(f"w{i}" for i in range(1, WORDS if wide else 1))]
+    fields = [T.StructField("doc_id", source.schema["id"].dataType), T.StructField("fp", T.LongType())]
+    fields += [T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))] if bands else []
 
     def hashed(batches):
         for whole in batches:
             for batch in slices(whole, limit=16 << 20):
                 texts = batch.column("text").to_pylist()
-                rows = [wide_fingerprint(x, shingle, seed) if wide else [fingerprint(x, shingle, seed)] for x in texts]
-                values = np.array(rows, np.uint64).reshape(len(texts), len(names)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v) for v in values.T.copy())], names=["doc_id", *names])
+                columns = [batch.column("id"), pa.array(np.array([fingerprint(x, shingle, seed) for x in texts], np.uint64).view(np.int64))]
+                if bands:
+                    signed = [similar.signature(x) for x in texts]
+                    columns += [pa.array([n for n, _ in signed], pa.int64()), pa.array([k for _, k in signed], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return source.mapInArrow(hashed, T.StructType([T.StructField("doc_id", source.schema["id"].dataType), *(T.StructField(n, T.LongType()) for n in names)]))
+    return source.mapInArrow(hashed, T.StructType(fields))
 
 
 def segment_masks(segments: int) -> list[int]:
@@ -149,67 +137,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, p
     return pairs.union(stars).distinct()
 
 
-def ring_holds(differences: list[Column], radius: int, longest: int) -> Column:
-    """Some chain of consecutive segments keeps each prefix up to `longest` within its share of the radius, as it must
-    by the pigeonring principle where all differences together are within the radius."""
-    m = len(differences)
-    starts = []
-    for first in range(m):
-        sums = [functools.reduce(operator.add, (differences[(first + k) % m] for k in range(n))) for n in range(1, longest + 1)]
-        starts.append(functools.reduce(operator.and_, (x <= radius * n // m for n, x in enumerate(sums, 1))))
-    return functools.reduce(operator.or_, starts)
-
-
-def wide_near(a: list[Column], b: list[Column], radius: int) -> Column:
-    """Whether two wide fingerprints are within the radius: first the ring of half words, then all bits."""
-    halves = [F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(mask))) for x, y in zip(a, b, strict=True) for mask in (0xFFFFFFFF, -(1 << 32))]
-    whole = functools.reduce(operator.add, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)))
-    return ring_holds(halves, radius, 3) & (whole <= radius)
-
-
-def chain_key(words: list[Column], start: Column | int, step: Column | int, chain: int) -> Column:
-    """The bits of `chain` segments of the ring, each `step` after the last, from segment start, as one long."""
-    each = 64 // BITS
-    ring = [F.shiftrightunsigned(words[j // each], BITS * (j % each)).bitwiseAND(F.lit((1 << BITS) - 1)) for j in range(each * len(words))]
-    if isinstance(start, int):
-        picked = [ring[(start + k * step) % len(ring)] for k in range(chain)]
-    else:
-        picked = [F.get(F.array(*ring), (start + k * step) % len(ring)) for k in range(chain)]
-    return functools.reduce(operator.add, (F.shiftleft(x, BITS * k) for k, x in enumerate(picked)))
-
-
-def wide_links(distinct: DataFrame, radius: int = WIDE_RADIUS, paired: int = PAIRED) -> DataFrame:
-    """Links (a, b) between fps whose wide fingerprints (fp, w1, w2, w3) are within the radius, enough for components.
-
-    Each chain of three segments of eight bits, consecutive in one of two orders of the ring, is a key, so a pair is
-    met where it agrees in the 24 bits of one of 64 chains; candidates must keep to the pigeonring's budgets, then to
-    the radius. The members of a key within the radius of the smallest are linked to it and to no one another, as that
-    makes them one component. A key of up to `paired` fingerprints yields its other pairs. In a larger one the members
-    are keyed again by chains of twice the length, where the same holds but for pairs that are linked already; so the
-    work grows with the number of rows. The search is not exact: the README has its recall.
-    """
-    words = ["fp", *(f"w{i}" for i in range(1, WORDS))]
-    here = [F.col(w) for w in words]
-    rings = WORDS * 64 // BITS
-    keys = F.array(*(F.struct(F.lit(i).alias("ring"), F.lit(step).alias("step"), chain_key(here, i, step, CHAIN).alias("part")) for step in STEPS for i in range(rings)))
-    keyed = distinct.select(*words, F.lit(False).alias("known"), F.explode(keys).alias("key")).select(*words, "known", "key.*")
-    on, found = ["ring", "step", "part"], []
-    for chain in (CHAIN, LONG_CHAIN):
-        if chain == LONG_CHAIN:
-            keyed = large.select(*words, F.col("near").alias("known"), "ring", "step", chain_key(here, F.col("ring"), F.col("step"), chain).alias("part"))
-        sizes = keyed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
-        met = written(keyed.join(sizes, on), "simhash-wide")
-        least = met.groupBy(*on).agg(F.min(F.struct(*words, "known")).alias("least"))
-        near = wide_near([F.col(f"least.{w}") for w in words], here, radius)
-        met = written(met.join(least, on).select(*on, *words, "known", "n", near.alias("near"), F.col("least.fp").alias("hub"), (F.col("known") & F.col("least.known")).alias("joined")), "simhash-hubs")
-        found.append(met.where("near and not joined and hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")))
-        few, large = met.where(F.col("n") <= paired), met.where(F.col("n") > paired)
-        left = few.select(*on, *(F.col(c).alias(f"a_{c}") for c in (*words, "near", "known")))
-        pairs = left.join(few, on).where("a_fp < fp and not (a_near and near) and not (a_known and known)")
-        found.append(pairs.where(wide_near([F.col(f"a_{w}") for w in words], here, radius)).select(F.col("a_fp").alias("a"), F.col("fp").alias("b")))
-    return functools.reduce(DataFrame.union, found).distinct()
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node of its component.
 
@@ -235,29 +162,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return found.union(found.select("root", "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, wide_radius: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
 
-    Documents link where their fingerprints differ in `radius` bits at most; with wide_radius also where wide ones of
-    256 bits, of which the first text of each fingerprint gives one, do in that many (see wide_links). Equal fingerprints count once until the
-    end, so groups of copies cost one row each; fingerprints of over a thousandth of all rows, so under a thousand,
-    have their rows dealt to parts in the last join. Texts of any length are read whole. Null and empty texts have fingerprint zero and link like any other.
-    Repeated rows come back as often as they came. A null doc_id comes back with its group's id, null if the group
-    has no other. Empty table: no rows.
+    Documents link where their fingerprints differ in `radius` bits at most; with a similarity also where their texts'
+    five-word shingles are as similar (see similar.similar_links), for which the text of the smallest id stands for its
+    fingerprint. Equal fingerprints count once until the end, so groups of copies cost one row each; fingerprints of
+    over a thousandth of all rows, so under a thousand, have their rows dealt to parts in the last join. Texts of any
+    length are read whole. Null and empty texts have fingerprint zero and link like any other. Repeated rows come back
+    as often as they came. A null doc_id comes back with its group's id, null if the group has no other. Empty table:
+    no rows.
     """
-    wide = wide_radius is not None
-    prints = written(fingerprints(docs, id_col, text_col, shingle, seed, wide).withColumn("row", F.monotonically_increasing_id()), "simhash-fp")
-    if wide:
-        words = [f"w{i}" for i in range(1, WORDS)]
-        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *words)).alias("least")
-        firsts = prints.groupBy("fp").agg(least, F.count("*").alias("n")).select("fp", F.col("least.doc_id").alias("first"), "n", *(f"least.{w}" for w in words))
+    prints = fingerprints(docs, id_col, text_col, shingle, seed, similarity is not None)
+    prints = written(prints.withColumn("row", F.monotonically_increasing_id()), "simhash-fp")
+    if similarity is not None:
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "size", "bands")).alias("least")
+        firsts = prints.groupBy("fp").agg(least, F.count("*").alias("n")).select("fp", F.col("least.doc_id").alias("first"), "n", "least.size", "least.bands")
     else:
         firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     firsts = written(firsts, "simhash-distinct")
     hot = firsts.join(F.broadcast(firsts.agg((F.sum("n") / 1000).alias("often"))), F.col("n") > F.col("often"))
     near = links(firsts.select("fp"), radius)
-    if wide:
-        near = near.union(wide_links(firsts, wide_radius)).distinct()
+    if similarity is not None:
+        from estuary.llm import similar
+
+        texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text"))
+        near = near.union(similar.similar_links(firsts, texts, similarity)).distinct()
     roots = written(components(near), "simhash-roots")
     placed = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
