@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import itertools
 import re
@@ -17,8 +18,12 @@ from estuary.llm.common import hash_sample, keyed_texts, slices
 MAX_LABELLED = 2000
 #: What a tag costs, in words, that never occurs inside labelled content.
 SCALE = 64.0
-#: Cost share of a tag that no labelled page has, and how many sightings that guess weighs.
-PRIOR, PRIOR_WEIGHT = 0.01, 2.0
+#: Cost share of a tag that no labelled page has, by its kind, and how many sightings that guess weighs.
+PRIOR, TEXT_PRIOR, INLINE_PRIOR, PRIOR_WEIGHT = 0.01, 0.002, 0.0, 2.0
+#: Of the articles of a page, those with so large a share of the largest one's words are its text; others are teasers.
+TEASER = 0.2
+#: An advert inside an article has so large a share of its words at most.
+ADVERT_SHARE = 0.25
 
 # HTML element names.
 RAW = frozenset("script style textarea title".split())
@@ -30,9 +35,16 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 CLOSES_P = BLOCKS - {"html", "body"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of a class, id or role that mark what is not the article.
-HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal nav navigation navbar menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus reply replies respond share sharing social related newsletter subscribe signup search login form contentinfo complementary dialog".split())
+HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal nav navigation navbar menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments discussion disqus reply replies respond share sharing social related newsletter subscribe signup search login form contentinfo complementary dialog".split())
 #: Hints that hold however large the element is.
-COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+COMMENTS = frozenset("comment comments discussion disqus reply replies respond".split())
+#: The other hints that hold inside an article.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner".split())
+#: Words that a name may have beside a hint: related-posts is one, related-work is not.
+PARTS = frozenset("action actions area article articles bar block body bottom box button buttons cards center container content cta feed footer form global group header holder icon icons inner item items left link links list main media module panel policy post posts primary region right row rss section secondary site slot small space top toggle text thread up unit user widget widgets wrap wrapper zone".split())
+# Elements of running text, and those inside a line.
+TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li ol ul dl dt dd table caption colgroup tbody thead tfoot tr td th figure figcaption details summary".split())
+INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img ins kbd mark math q ruby s samp small span strong sub sup time tt u var wbr".split())
 #: After these a class tells what the page has, not what the element is: has-sidebar, no-comments.
 ABOUT = frozenset("has have no not non with without hide hides show shows".split())
 #: A class that ends with one of these tells a state: comments-open, ad-free.
@@ -46,24 +58,26 @@ _NAMES = re.compile(r"[a-z]+")
 
 
 def hints(value: str) -> set[str]:
-    """The words of a class, id or role that tell what its element is: token by token, none after a word of ABOUT, none of a state."""
+    """The words of a class, id or role that tell what its element is: token by token, none after a word of ABOUT, none of a state.
+
+    A token counts if all its words are hints or PARTS, so one that only has a hint in it, as notice-period, does not.
+    """
     out: set[str] = set()
     for token in value.split():
         words = _NAMES.findall(token)
         if words and words[-1] in STATES and len(words) > 1:
             continue
-        for word in words:
-            if word in ABOUT:
-                break
-            out.add(word)
-    return out & HINTS
+        named = set(itertools.takewhile(lambda word: word not in ABOUT, words))
+        if named <= HINTS | PARTS:
+            out |= named & HINTS
+    return out
 
 
 def unwanted(name: str, attributes: str) -> str:
-    """Why an element is no part of an article: 'never' by its name or because it is hidden, 'comments' or 'hint' by class, id or role or as a wrapper, 'header' if it is just that, else ''."""
+    """Why an element is no part of an article: 'never' by its name or because it is hidden, 'comments', 'advert' or 'hint' by class, id or role, 'wrapper' or 'header' by its name, else ''."""
     if name in SKIPPED and name not in WRAPPERS:
         return "never"
-    why = "header" if name == "header" else "hint" if name in WRAPPERS else ""
+    why = "header" if name == "header" else "wrapper" if name in WRAPPERS else ""
     if name in ("body", "html") or not attributes or not _MARK.search(attributes):
         return why
     for m in _ATTRIBUTE.finditer(attributes):
@@ -71,7 +85,8 @@ def unwanted(name: str, attributes: str) -> str:
         if name not in LABELLED and (key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value)):
             return "never"
         if key in ("class", "id", "role") and (found := hints(value)):
-            why = "comments" if why == "comments" or not found.isdisjoint(COMMENTS) else "hint"
+            kind = "comments" if not found.isdisjoint(COMMENTS) else "advert" if not found.isdisjoint(ADVERTS) else "hint"
+            why = next(k for k in ("comments", "wrapper", "advert", "hint") if k in (why, kind))
     return why
 
 
@@ -142,38 +157,67 @@ def parsed(page: str) -> tuple[list[tuple[str, str]], list[tuple[int, int, str,
     return events, [(first, len(events) if end < 0 else end, name, why) for first, end, name, why in elements]
 
 
-def tokens(page: str):
-    """(kind, value) of a page in order, without unwanted elements: 'tag' with a name ('/' before an end tag) or 'text', decoded.
+def tokens(page: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]:
+    """What a page holds without unwanted elements, and where in it the articles lie.
 
-    An element that is unwanted by a hint stays if it holds the page's main element (or, without one, all its articles),
-    or, on a page with neither and if it is no list of comments, over half of the words. An article's own <header>
-    stays as well. If nothing but hints and comments is left of a page's words, hints do not count.
+    A token is 'tag' with a name ('/' before an end tag) or 'text', decoded. The articles are the page's article
+    elements but for teasers (see TEASER), in its main element where one holds most of it, or else that main element.
+    An element that is unwanted by a hint stays if it holds the articles, or, on a page with neither and if it is no list
+    of comments, over half of the words. Inside an article element only comments, small adverts and elements like <nav>
+    go, and its own <header> stays. If nothing but hints and comments is left of a page's words, hints do not count.
     """
     events, elements = parsed(page)
     gone = _covered(len(events), [(first, end) for first, end, name, why in elements if why == "never"])
-    own = [(first, end, name) for first, end, name, why in elements if name in LABELLED and not why and not gone[first]]
-    inside = _covered(len(events), [(first, end) for first, end, name in own if name == "article"])
-    own = [x for x in own if x[2] == "main"] or own
     before = [0]
     for (kind, value), skip in zip(events, gone, strict=True):
         before.append(before[-1] + (len(value.split()) if kind == "text" and not skip else 0))
-    first_own, last_own = min((x[0] for x in own), default=0), max((x[1] for x in own), default=0)
+    size = lambda x: before[x[1]] - before[x[0]]
+    labelled = [(first, end, name) for first, end, name, why in elements if name in LABELLED and not why and not gone[first]]
+    mains = outermost([x for x in labelled if x[2] == "main"])
+    articles = outermost([x for x in labelled if x[2] == "article"])
+    in_main = _covered(len(events), [(x[0], x[1]) for x in mains])
+    held = [x for x in articles if in_main[x[0]]]
+    if mains and 2 * sum(map(size, held)) < sum(map(size, mains)):
+        own = mains
+    else:
+        own = held or articles
+        largest = max(map(size, own), default=0)
+        own = [x for x in own if size(x) >= TEASER * largest]
+    inside = _covered(len(events), [(x[0], x[1]) for x in own if x[2] == "article"])
+    starts = [x[0] for x in own]
+    first_own, last_own = min(starts, default=0), max((x[1] for x in own), default=0)
     out = []
     for first, end, name, why in elements:
-        if why not in ("hint", "header", "comments") or name in LABELLED:
+        if why in ("", "never") or name in LABELLED:
             continue
-        if own:
+        if inside[first]:
+            around = own[bisect.bisect_right(starts, first) - 1]
+            small = before[end] - before[first] <= ADVERT_SHARE * size(around)
+            holds = why in ("hint", "header") or why == "advert" and not small
+        elif own:
             holds = first < first_own and last_own <= end
         else:
             holds = why != "comments" and 2 * (before[end] - before[first]) > before[-1]
-        if not holds and not (why == "header" and inside[first]):
+        if not holds:
             out.append((first, end, why))
     unwanted_ = _covered(len(events), [(first, end) for first, end, _ in out])
     if before[-1] and all(before[i] == before[i + 1] or unwanted_[i] for i in range(len(events))):
         unwanted_ = _covered(len(events), [(first, end) for first, end, why in out if why == "comments"])
+    left, at = [], [0]
     for (kind, value), never, skip in zip(events, gone, unwanted_, strict=True):
         if not never and not skip:
-            yield kind, entities.unescape(value) if kind == "text" else value
+            left.append((kind, entities.unescape(value) if kind == "text" else value))
+        at.append(len(left))
+    return left, [(at[first], at[end]) for first, end, _ in own]
+
+
+def outermost(elements: list[tuple]) -> list[tuple]:
+    """Elements that lie in none of the others, in order."""
+    out: list[tuple] = []
+    for x in sorted(elements, key=lambda x: (x[0], -x[1])):
+        if not out or x[0] >= out[-1][1]:
+            out.append(x)
+    return out
 
 
 def _covered(n: int, ranges: list[tuple[int, int]]) -> list[bool]:
@@ -187,7 +231,7 @@ def _covered(n: int, ranges: list[tuple[int, int]]) -> list[bool]:
 
 def sightings(page: str) -> list[tuple[str, int, int]]:
     """(tag, inside, outside) of a labelled page: counts within its single article or main element; none for other pages."""
-    found = list(tokens(page))
+    found, _ = tokens(page)
     for name in LABELLED:
         starts = [i for i, t in enumerate(found) if t == ("tag", name)]
         ends = [i for i, t in enumerate(found) if t == ("tag", "/" + name)]
@@ -219,18 +263,31 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_l
     return {r.tag: scale * (r.o + PRIOR * PRIOR_WEIGHT) / (r.i + r.o + PRIOR_WEIGHT) for r in rows}
 
 
+def prior(tag: str) -> float:
+    """The cost share of a tag that no labelled page has: little for elements of running text, none inside a line."""
+    name = tag.lstrip("/")
+    return INLINE_PRIOR if name in INLINE else TEXT_PRIOR if name in TEXTUAL else PRIOR
+
+
 def main_text(page: str, weights: dict[str, float], scale: float = SCALE) -> str:
-    """The blocks of the best contiguous region, joined by an empty line; white space inside a block becomes one space."""
-    found = list(tokens(page))
+    """The blocks of the best contiguous region, joined by an empty line; white space inside a block becomes one space.
+
+    Where the page marks its articles and the region meets one, the region is all of them, so that neither a costly
+    table nor what stands between two of them cuts off the rest.
+    """
+    found, articles = tokens(page)
     best, best_range, total, first = 0.0, (0, 0), 0.0, 0
     for i, (kind, value) in enumerate(found):
-        total += len(value.split()) if kind == "text" else -weights.get(value, scale * PRIOR)
+        total += len(value.split()) if kind == "text" else -weights.get(value, scale * prior(value))
         if total <= 0:
             total, first = 0.0, i + 1
         elif total > best:
             best, best_range = total, (first, i + 1)
+    regions = [best_range]
+    if any(a < best_range[1] and best_range[0] < b for a, b in articles):
+        regions = articles
     blocks: list[list[str]] = [[]]
-    for kind, value in found[slice(*best_range)]:
+    for kind, value in itertools.chain.from_iterable([*found[a:b], ("tag", "p")] for a, b in regions):
         if kind == "text":
             blocks[-1].append(value)
         elif value.lstrip("/") in BLOCKS:
