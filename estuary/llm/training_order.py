@@ -109,7 +109,7 @@ def token_groups(docs: DataFrame, length: int, ranks_path: str | None) -> DataFr
                             yield group()
                         ids, counts, named, size, first, before, place, chunks = [], [], [], 0, i, 0, None, chunks + 1
                     place, last = place or here, here
-                    ids += [encode(text, allowed_special="all").astype("<u2").tobytes(), END.tobytes()]
+                    ids += [encode(text, disallowed_special=()).astype("<u2").tobytes(), END.tobytes()]
                     counts.append(len(ids[-2]) // 2 + 1)
                     size += counts[-1]
                     if size >= GROUP_IDS:
@@ -136,7 +136,8 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     cluster, however the files are split; docs that are not read straight from files stand in the order of their
     partitions.
 
-    Null or empty text: END_ID alone. A text of any length is encoded whole. Repeated rows are written as often as
+    Null or empty text: END_ID alone. The end's own string in a text is plain text, so it forges no boundary. A text of
+    any length is encoded whole. Repeated rows are written as often as
     they come. Other columns are ignored, whatever their names. Empty table: no files, no rows.
     """
     spark = docs.sparkSession
