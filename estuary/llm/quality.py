@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("id"), F.col("quality").alias("q")).where("id is not null and q in (0, 1)").groupBy("id").agg(F.min("q").alias("q"))
     chosen = F.broadcast(hash_sample(known, "id", max_labels))  # max_labels rows bound its size
     mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    rows = document_statistics(mine, "id", "text", features=True).where(~base_failed()).join(chosen, F.col("doc_id") == F.col("id")).select("doc_id", "features", "q").dropDuplicates(["doc_id"]).limit(max_labels).collect()
+    rows = document_statistics(mine, "id", "text", features=True).where(~base_failed()).join(chosen, F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min(F.struct("features", "q")).alias("r")).select("doc_id", "r.*").limit(max_labels).collect()
     rows.sort(key=lambda r: r.doc_id)
     x, bad = np.array([r.features for r in rows]), np.array([1 - r.q for r in rows])
     if len(rows) < 20 or min(bad.sum(), len(bad) - bad.sum()) < 10:
