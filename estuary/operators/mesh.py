@@ -6,11 +6,14 @@ are small against fields, so joins with them are left to the optimizer, which br
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from estuary.operators.extraction import per_vertex, vertices
+from estuary.operators.region import points_in_region
 from estuary.session import written
 
 
@@ -159,13 +162,53 @@ def layer_volume(nodes: DataFrame, elements: DataFrame, sigma: DataFrame, surfac
     return surface.join(still, "node_id").withColumn("volume", F.col("volume") * (1 + F.col("zeta") / F.col("h"))).drop("area", "dz", "h")
 
 
+#: A bucket of costs is as wide as so many of the longest links.
+BUCKET = 8
+
+
+def cheapest(legs: DataFrame, links: DataFrame, keys: list[str], rounds_at_once: int) -> DataFrame:
+    """(keys, ele_id, cost, prev): the least costs from each leg's start, up to its goal at least, by delta-stepping.
+
+    legs: keys, start, goal. Elements wait in buckets of costs. In the lowest one only those take their links whose cost
+    has changed since they last did, until none is left there; then its costs are final, and are written once. As a
+    bucket is wider than any link, what it reaches is compared with itself, the open elements and the bucket before
+    alone. So the rows of a round are those near the front, and all rounds' grow with the elements, not with these times
+    the steps from end to end. Legs whose goal is final take no further part.
+    """
+    size = BUCKET * (links.agg(F.max("dist")).first()[0] or 1.0)
+    key = [*keys, "ele_id"]
+    # an element has three links at most
+    around = written(links.groupBy("src").agg(F.collect_list(F.struct("dst", "dist")).alias("out")), "path-around")
+    band = legs.select(*keys, F.col("start").alias("ele_id"), F.lit(0.0).alias("cost"), F.lit(0).alias("prev"), F.lit(True).alias("fresh"))
+    band, floor, done = written(band, "path-front"), 0.0, []
+    goals = legs.select(*keys, F.col("goal").alias("ele_id"))
+    while (low := band.where(F.col("cost") >= floor).agg(F.min("cost")).first()[0]) is not None:
+        limit = (low // size + 1) * size
+        due = F.col("fresh") & (F.col("cost") < limit)
+        while True:
+            for _ in range(rounds_at_once):
+                itself = F.struct("ele_id", "cost", "prev", (F.col("fresh") & ~due).alias("fresh"))
+                step = lambda x: F.struct(x["dst"].alias("ele_id"), (F.col("cost") + x["dist"]).alias("cost"), F.col("ele_id").alias("prev"), F.lit(True).alias("fresh"))
+                onward = F.when(due & F.col("out").isNotNull(), F.transform("out", step)).otherwise(F.array())
+                rows = band.join(around, F.col("ele_id") == F.col("src"), "left").select(*keys, F.explode(F.concat(F.array(itself), onward)).alias("r"))
+                least = F.min(F.struct("r.cost", "r.prev", "r.fresh")).alias("m")
+                band = rows.groupBy(*keys, F.col("r.ele_id").alias("ele_id")).agg(least).select(*key, "m.cost", "m.prev", "m.fresh")
+            band = written(band, "path-front")
+            if band.where(due).isEmpty():
+                break
+        done.append(band.where((F.col("cost") >= floor) & (F.col("cost") < limit)).select(*key, "cost", "prev"))
+        reached = goals.join(done[-1], key).select(*keys)
+        band = written(band.where(F.col("cost") >= limit - size).join(reached, keys, "left_anti"), "path-front")
+        floor = limit
+    return functools.reduce(DataFrame.union, done)
+
+
 def section_paths(nodes: DataFrame, elements: DataFrame, waypoints: DataFrame, reverse: bool = False, rounds_at_once: int = 4) -> DataFrame:
     """(section, seq, ele_id): each section's element path through its waypoints in order, with the least sum of centre distances.
 
     waypoints: section, seq, ele_id; two at least in a section. Each pair of neighbours is a leg, and all legs are
-    relaxed at once over the edge list: several rounds make one job, then the distances are written to the shared
-    folder; it stops when a job changes nothing. Paths are read back from the goals by joins on the written
-    predecessors, twice as far each round. An element where two legs meet stands once.
+    searched at once (see cheapest); several rounds make one job. Paths are read back from the goals by joins on the
+    written predecessors, twice as far each round. An element where two legs meet stands once.
     """
     leg = ["section", "leg"]
     order = Window.partitionBy("section").orderBy("seq")
@@ -175,17 +218,11 @@ def section_paths(nodes: DataFrame, elements: DataFrame, waypoints: DataFrame, r
     legs = written(pairs.where("goal IS NOT NULL"), "path-legs")
     links = element_neighbors(elements).where("nei_id <> 0").select(F.col("ele_id").alias("src"), F.col("nei_id").alias("dst"))
     links = written(distance(links, element_centers(nodes, elements).select("ele_id", "x", "y"), "src", "dst", "ele_id"), "path-links")
-    best = legs.join(elements, F.col("start") == F.col("ele_id")).select(*leg, "ele_id", F.lit(0.0).alias("cost"), F.lit(0).alias("prev"))
-    before = None
-    while True:
-        for _ in range(rounds_at_once):
-            step = best.join(links, best.ele_id == links.src).select(*leg, F.col("dst").alias("ele_id"), (F.col("cost") + F.col("dist")).alias("cost"), F.col("src").alias("prev"))
-            best = best.unionByName(step).groupBy(*leg, "ele_id").agg(F.min(F.struct("cost", "prev")).alias("m")).select(*leg, "ele_id", "m.cost", "m.prev")
-        best = written(best, "path-costs")
-        now = tuple(best.agg(F.count("*"), F.bit_xor(F.xxhash64(*leg, "ele_id", "cost", "prev"))).first())
-        if now == before:
-            break
-        before = now
+    inside = legs.join(elements.select(F.col("ele_id").alias("start")), "start", "left_semi")
+    if inside.isEmpty():
+        missing = legs.first()
+        raise ValueError(f"no path from element {missing.start} to {missing.goal}")
+    best = cheapest(inside, links, leg, rounds_at_once)
     missing = legs.join(best.select(*leg, F.col("ele_id").alias("goal")), [*leg, "goal"], "left_anti").first()
     if missing:
         raise ValueError(f"no path from element {missing.start} to {missing.goal}")
@@ -212,24 +249,10 @@ def shortest_path(nodes: DataFrame, elements: DataFrame, start: int, goal: int,
     return section_paths(nodes, elements, ends, reverse, rounds_at_once).select("seq", "ele_id")
 
 
-def points_in_region(points: DataFrame, ring_edges: DataFrame) -> DataFrame:
-    """Points inside a region, by the parity of boundary edges that a ray to the right crosses; edges of holes count alike.
-
-    ring_edges: x1, y1, x2, y2. The edges join on a coarse band of y, so that each point meets those near its height only.
-    """
-    band = 1000.0
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = ring_edges.where("y1 <> y2").select("*", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))).alias("band"))
-    crossing = (low <= F.col("py")) & (F.col("py") < high) & (F.col("px") < F.col("x1") + (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
-    spots = points.withColumns({"px": F.col("x"), "py": F.col("y"), "band": F.floor(F.col("y") / band)})
-    hits = spots.join(banded, "band").where(crossing)
-    return hits.groupBy(*points.columns).agg(F.count("*").alias("crossed")).where("crossed % 2 = 1").drop("crossed")
-
-
-def edge_lines(nodes: DataFrame, node_edges: DataFrame) -> DataFrame:
-    """x1, y1, x2, y2 of edges (a, b)."""
+def edge_lines(nodes: DataFrame, node_edges: DataFrame, keep: bool = False) -> DataFrame:
+    """x1, y1, x2, y2 of edges (a, b), with keep also a and b."""
     end = lambda c, i: nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
-    return node_edges.join(end("a", 1), "a").join(end("b", 2), "b").select("x1", "y1", "x2", "y2")
+    return node_edges.join(end("a", 1), "a").join(end("b", 2), "b").select(*(("a", "b") if keep else ()), "x1", "y1", "x2", "y2")
 
 
 def component_labels(pairs: DataFrame, node: str = "node_id", nei: str = "nei_id") -> DataFrame:
@@ -333,16 +356,24 @@ def control_volume(nodes: DataFrame, elements: DataFrame, section: DataFrame) ->
     """Nodes of the volume that the sections enclose: with one section its upstream side.
 
     Node links across a section are cut (from one of its sides to the other); of the components that remain, the one
-    that touches every section is the volume. None is an error.
+    that touches every section is the volume; of two, as where sections lie on both sides of an island, the one upstream
+    of the first section by name. None is an error, and so is a loop: a component that holds both sides
+    of a section, which then bounds nothing, as when it ends inside the mesh or leaves another way round.
     """
     sides = written(transect_sides(nodes, elements, section), "cv-sides")
     up, down = (sides.where(w).select("section", F.col("node_id").alias(c)) for w, c in (("upstream", "u"), ("not upstream", "d")))
     across = up.join(down, "section").select("u", "d")
     cut = across.union(across.select("d", "u")).toDF("node_id", "nei_id")
     labels = written(component_labels(node_neighbors(elements).join(cut, ["node_id", "nei_id"], "left_anti")), "cv-labels")
-    touched = sides.join(labels, "node_id").groupBy("label").agg(F.countDistinct("section").alias("n"), F.sum(F.col("upstream").cast("int")).alias("ups"))
-    sections = section.select("section").distinct().count()
-    fit = touched.where(F.col("n") == sections).orderBy(F.desc("ups"), "label").select("label").limit(1)
+    # a link for each section's side and the component that it lies in: as many as sections, not as nodes
+    ends = written(sides.join(labels, "node_id").select("section", "upstream", "label").distinct(), "cv-ends")
+    loops = ends.groupBy("section", "label").agg(F.count("*").alias("n")).where("n > 1")
+    if loop := loops.orderBy("section").first():
+        raise ValueError(f"loop detected: both sides of section {loop.section} lie in one part of the mesh")
+    first, sections = section.agg(F.min("section"), F.countDistinct("section")).first()
+    above = F.max(F.col("upstream") & (F.col("section") == first))
+    touched = ends.groupBy("label").agg(F.countDistinct("section").alias("n"), above.alias("above"))
+    fit = touched.where(F.col("n") == sections).orderBy(F.desc("above"), "label").select("label").limit(1)
     if fit.isEmpty():
         raise ValueError("no part of the mesh touches every section")
     return labels.join(fit, "label", "left_semi").select("node_id")
@@ -354,7 +385,7 @@ def section_direction(sides: DataFrame, cv: DataFrame) -> DataFrame:
     return ups.groupBy("section").agg(F.min(F.coalesce("inside", F.lit(False))).alias("into"))
 
 
-def domain_nodes(nodes: DataFrame, ring_edges: DataFrame, masked: DataFrame) -> DataFrame:
+def domain_nodes(nodes: DataFrame, ring_edges: DataFrame, masked: DataFrame, tolerance: float | None = None) -> DataFrame:
     """(node_id, h, masked): nodes inside a region, with their depth, the masked ones marked."""
-    inside = points_in_region(nodes.select("node_id", "x", "y", "h"), ring_edges)
+    inside = points_in_region(nodes.select("node_id", "x", "y", "h"), ring_edges, tolerance)
     return inside.join(masked.select("node_id", F.lit(True).alias("masked")), "node_id", "left").select("node_id", "h", F.coalesce("masked", F.lit(False)).alias("masked"))

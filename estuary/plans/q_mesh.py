@@ -153,6 +153,22 @@ def m12_points_in_region(v):
     return M.points_in_region(v("v_station").select("location_id", "x", "y"), region(v))
 
 
+@query(f"""WITH {EDGE}, {REGION}, re AS (SELECT x1 / 100000 AS x1, y1 / 100000 AS y1, x2 / 100000 AS x2, y2 / 100000 AS y2 FROM region_edge),
+pt AS (SELECT 'node ' || CAST(node_id AS VARCHAR) AS name, x / 100000 AS x, y / 100000 AS y FROM v_mesh_node
+  UNION ALL SELECT DISTINCT 'edge ' || CAST(a AS VARCHAR) || ' ' || CAST(b AS VARCHAR), (p.x + q.x) / 200000, (p.y + q.y) / 200000 FROM edge JOIN v_mesh_node p ON a = p.node_id JOIN v_mesh_node q ON b = q.node_id),
+far AS (SELECT pt.*, re.*, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM pt, re)
+SELECT name FROM far GROUP BY name HAVING min(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2))) <= 1e-9
+  OR count(*) FILTER (y1 <> y2 AND least(y1, y2) <= y AND y < greatest(y1, y2) AND x < x1 + (y - y1) / (y2 - y1) * (x2 - x1)) % 2 = 1""")
+def m12_region_borders(v):
+    """All nodes and edge middles of the mesh, in degrees, inside the region or on its border."""
+    nodes, scale = v("v_mesh_node"), F.lit(100000.0)
+    ends = M.edge_lines(nodes, M.edges(v("v_mesh_element")).select("a", "b").distinct(), keep=True)
+    name = lambda *c: F.concat_ws(" ", *c)
+    points = nodes.select(name(F.lit("node"), F.col("node_id").cast("string")).alias("name"), (F.col("x") / scale).alias("x"), (F.col("y") / scale).alias("y"))
+    middle = ends.select(name(F.lit("edge"), F.col("a").cast("string"), F.col("b").cast("string")).alias("name"), ((F.col("x1") + F.col("x2")) / 2 / scale).alias("x"), ((F.col("y1") + F.col("y2")) / 2 / scale).alias("y"))
+    return M.points_in_region(points.union(middle), region(v).select(*((F.col(c) / scale).alias(c) for c in ("x1", "y1", "x2", "y2"))), 1e-9).select("name")
+
+
 @query("""WITH RECURSIVE live AS (SELECT node_id FROM v_mesh_node WHERE x < 9500),
 nb AS (SELECT e.a, e.b FROM (SELECT unnest([n1, n2, n3, n2, n3, n1]) AS a, unnest([n2, n3, n1, n1, n2, n3]) AS b FROM v_mesh_element) e WHERE a IN (FROM live) AND b IN (FROM live)),
 reach AS (SELECT 1 AS node_id UNION SELECT b FROM reach JOIN nb ON node_id = a) SELECT CAST(node_id AS INTEGER) AS node_id FROM reach""")
@@ -202,7 +218,7 @@ across AS (SELECT u.node_id AS a, d.node_id AS b FROM sd u JOIN sd d USING (sect
 link AS (SELECT a, b FROM (SELECT a, b FROM edge UNION SELECT b, a FROM edge) EXCEPT (SELECT a, b FROM across UNION SELECT b, a FROM across)),
 reach AS (SELECT node_id AS seed, node_id FROM sd UNION SELECT seed, b FROM reach JOIN link ON node_id = a),
 comp AS (SELECT seed, min(node_id) AS label FROM reach GROUP BY seed),
-pick AS (SELECT label FROM sd JOIN comp ON sd.node_id = seed GROUP BY label HAVING count(DISTINCT section) = (SELECT count(DISTINCT section) FROM sd) ORDER BY count(*) FILTER (upstream) DESC, label LIMIT 1)
+pick AS (SELECT label FROM sd JOIN comp ON sd.node_id = seed GROUP BY label HAVING count(DISTINCT section) = (SELECT count(DISTINCT section) FROM sd) ORDER BY bool_or(upstream AND section = (SELECT min(section) FROM sd)) DESC, label LIMIT 1)
 SELECT DISTINCT node_id FROM reach JOIN comp USING (seed) WHERE label = (SELECT label FROM pick)""")
 def m19_control_volume(v):
     ends = sections(v).where("section in ('s0001', 's0003')")
