@@ -66,11 +66,16 @@ def truncate_to(series: DataFrame, limits: DataFrame, time: str = "ts") -> DataF
     return series.join(last, how="cross").where(F.col(time) <= F.col("last")).drop("last")
 
 
-def godin(series: DataFrame, values: list[str], keys: list[str], time: str = "ts") -> DataFrame:
-    """Hourly values passed through running means of 24, 24 and 25 hours (Godin 1972); NULL where a mean lacks rows."""
-    order = Window.partitionBy(*keys).orderBy(time)
+def godin(series: DataFrame, values: list[str], keys: list[str], time: str = "ts", step: float = 3600.0) -> DataFrame:
+    """Values of every step passed through running means of 24, 24 and 25 of them (Godin 1972).
+
+    The frames are spans of time, not of rows: a mean is NULL where one of its steps lacks a row or a value, so a gap
+    shifts nothing and leaves NULL around it, as do the two ends. A series has a row a step at most.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(time).cast("timestamp")))
+    micros = round(step * 1e6)
     for low, high in ((-12, 11), (-11, 12), (-12, 12)):
-        frame = order.rowsBetween(low, high)
+        frame = order.rangeBetween(low * micros, high * micros)
         series = series.withColumns({c: F.when(F.count(c).over(frame) == high - low + 1, F.avg(c).over(frame)) for c in values})
     return series
 

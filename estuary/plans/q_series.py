@@ -25,12 +25,12 @@ dw AS (SELECT k - 4 AS k, list_extract([{PHI}], CAST(k + 1 AS BIGINT)) AS w FROM
 deriv AS (SELECT a.ts, sum(w * b.v) / 3600 AS derivative FROM dn a, dw JOIN dn b ON b.i = CASE WHEN a.i + k < 1 THEN 1 - (a.i + k) WHEN a.i + k > a.n THEN 2 * a.n + 1 - (a.i + k) ELSE a.i + k END WHERE a.i > 1 GROUP BY a.ts)"""
 
 
-def godin_sql(source: str, columns: list[str], name: str) -> str:
+def godin_sql(source: str, columns: list[str], name: str, keys: str = "") -> str:
     """Three chained means as CTEs name_1, name_2 and name."""
-    out, previous = [], source
+    out, previous, by = [], source, f"PARTITION BY {keys} " if keys else ""
     for i, (low, high) in enumerate(((12, 11), (11, 12), (12, 12))):
         here = name if i == 2 else f"{name}_{i + 1}"
-        frame = f"OVER (ORDER BY ts ROWS BETWEEN {low} PRECEDING AND {high} FOLLOWING)"
+        frame = f"OVER ({by}ORDER BY ts RANGE BETWEEN INTERVAL {low} HOURS PRECEDING AND INTERVAL {high} HOURS FOLLOWING)"
         swaps = ", ".join(f"CASE WHEN count({c}) {frame} = {low + high + 1} THEN avg({c}) {frame} END AS {c}" for c in columns)
         out.append(f"{here} AS (SELECT * REPLACE ({swaps}) FROM {previous})")
         previous = here
@@ -229,3 +229,67 @@ def b12_tef_salt(v):
 @query(of_sections(f"{CONSTITUENT}"), r="dcdt:9 q_in:9 q_r:9 source_sink:9", t="ts")
 def b12_tef_constituent(v):
     return budgets(v)["doxg"]
+
+
+#: Three volumes that overlap, and the sections that bound them.
+REACHES = {"west": (0, 6000), "mid": (3000, 9000), "east": (5000, 1_000_000)}
+BOUNDS = {"west": {"click": True, "error": True}, "mid": {"error": False, "purchase": True}, "east": {"purchase": False, "signup": False, "view": True}}
+
+
+def deriv_sql(source: str, value: str, name: str) -> str:
+    """CTEs name_n and name: the derivative of a value by run and cv."""
+    return f"""{name}_n AS (SELECT run, cv, ts, {value} AS v, row_number() OVER (PARTITION BY run, cv ORDER BY ts) AS i, count(*) OVER (PARTITION BY run, cv) AS n FROM {source}),
+{name} AS (SELECT a.run, a.cv, a.ts, sum(w * b.v) / 3600 AS {name} FROM {name}_n a, dw JOIN {name}_n b ON b.run = a.run AND b.cv = a.cv AND b.i = CASE WHEN a.i + k < 1 THEN 1 - (a.i + k) WHEN a.i + k > a.n THEN 2 * a.n + 1 - (a.i + k) ELSE a.i + k END WHERE a.i > 1 GROUP BY a.run, a.cv, a.ts)"""
+
+
+MEMBERS = " UNION ALL ".join(f"SELECT '{cv}' AS cv, node_id FROM v_mesh_node WHERE x >= {low} AND x < {high}" for cv, (low, high) in REACHES.items())
+DIRECTIONS = ", ".join(f"('{cv}', '{section}', {str(into).lower()})" for cv, bounds in BOUNDS.items() for section, into in bounds.items())
+FIELDS = f"""{AREA}, {SIGMA}, member AS ({MEMBERS}), dir AS (SELECT * FROM (VALUES {DIRECTIONS}) d(cv, section, toward)),
+dw AS (SELECT k - 4 AS k, list_extract([{PHI}], CAST(k + 1 AS BIGINT)) AS w FROM range(0, 9) r(k)),
+load AS (SELECT date + 10227 AS date, node_id, discharge, doxg FROM v_loading), ends AS (SELECT CAST(max(date) AS TIMESTAMP) AS last FROM load),
+store AS (SELECT run, cv, ts, sum(area * dz * (h + zeta)) AS volume, sum(area * dz * (h + zeta) * salinity) AS v_salt, sum(area * dz * (h + zeta) * doxg) AS v_doxg, sum(growth * area * dz * (h + zeta) / 86400) AS growth
+  FROM v_field_hourly JOIN v_surface_hourly USING (run, ts, node_id) JOIN na USING (node_id) JOIN v_mesh_node USING (node_id) JOIN sigma USING (layer) JOIN member USING (node_id) WHERE ts <= (SELECT last FROM ends) GROUP BY run, cv, ts),
+flow AS (SELECT cv, ts, CASE WHEN toward THEN q ELSE -q END AS q, salt * (1 + zeta / h) AS s, (20 + salt / 2) * (1 + zeta / h) AS c FROM v_section_flux JOIN dir USING (section) WHERE ts <= (SELECT last FROM ends)),
+ex AS (SELECT cv, ts, sum(CASE WHEN q > 0 THEN q ELSE 0 END) AS q_in, sum(CASE WHEN q < 0 THEN q ELSE 0 END) AS q_out, sum(CASE WHEN q > 0 THEN q * s ELSE 0 END) AS s_in, sum(CASE WHEN q < 0 THEN q * s ELSE 0 END) AS s_out,
+  sum(CASE WHEN q > 0 THEN q * c ELSE 0 END) AS c_doxg_in, sum(CASE WHEN q < 0 THEN q * c ELSE 0 END) AS c_doxg_out FROM flow GROUP BY cv, ts),
+daily AS (SELECT cv, date, CAST(date AS TIMESTAMP) AS ts, coalesce(sum(discharge) FILTER (m.node_id IS NOT NULL), 0) AS q, coalesce(sum(discharge * doxg) FILTER (m.node_id IS NOT NULL), 0) AS x
+  FROM load, (SELECT DISTINCT cv FROM member) v LEFT JOIN (SELECT cv, node_id FROM member WHERE node_id IN (SELECT node_id FROM v_source_node)) m USING (cv) WHERE m.node_id = load.node_id GROUP BY cv, date
+  UNION ALL BY NAME SELECT cv, date, CAST(date AS TIMESTAMP) AS ts, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS x FROM (SELECT DISTINCT date FROM load) d, (SELECT DISTINCT cv FROM member) v WHERE NOT EXISTS (FROM load l JOIN member m USING (node_id) WHERE l.date = d.date AND m.cv = v.cv AND l.node_id IN (SELECT node_id FROM v_source_node))),
+riv AS (SELECT e.cv, e.ts, CASE WHEN a.ts = e.ts THEN a.q ELSE a.q + (epoch(e.ts) - epoch(a.ts)) / (epoch(b.ts) - epoch(a.ts)) * (b.q - a.q) END AS q_r, CASE WHEN a.ts = e.ts THEN a.x ELSE a.x + (epoch(e.ts) - epoch(a.ts)) / (epoch(b.ts) - epoch(a.ts)) * (b.x - a.x) END AS r_doxg
+  FROM ex e ASOF JOIN daily a ON a.cv = e.cv AND a.ts <= e.ts ASOF JOIN daily b ON b.cv = e.cv AND b.ts >= e.ts)"""
+FIELD_VOLUME = f"{FIELDS}, {deriv_sql('store', 'volume', 'dvdt')}, base AS (SELECT run, cv, ts, dvdt, q_in, q_out, q_r FROM dvdt JOIN ex USING (cv, ts) LEFT JOIN riv USING (cv, ts)), {godin_sql('base', ['dvdt', 'q_r'], 'g', 'run, cv')}, vb AS (SELECT *, -dvdt + q_in + q_out + q_r AS error FROM g)"
+
+
+def field_budgets(v):
+    """Budgets of all volumes and runs from the hourly fields; the loading's dates are moved to those of the fields."""
+    nodes = v("v_mesh_node")
+    reach = F.array(*(F.struct(F.lit(cv).alias("cv"), F.lit(low).alias("low"), F.lit(high).alias("high")) for cv, (low, high) in REACHES.items()))
+    members = nodes.select("node_id", "x", F.explode(reach).alias("r")).where("x >= r.low AND x < r.high").select("r.cv", "node_id")
+    directions = v.spark.createDataFrame([(cv, s, into) for cv, bounds in BOUNDS.items() for s, into in bounds.items()], "cv string, section string, into boolean")
+    loading = v("v_loading").withColumn("date", F.date_add("date", 10227))
+    flux = v("v_section_flux").withColumn("doxg", 20 + F.col("salt") / 2)
+    fixed = {"doxg": {"rates": {"growth": "per_day"}, "river": "doxg"}}
+    return B.budgets_of_fields(
+        v("v_field_hourly"), v("v_surface_hourly"), nodes, v("v_mesh_element"), sigma(v), members, flux, directions, loading,
+        v("v_source_node"), HOUR, fixed, average="notq", skip=5,
+    )
+
+
+@query(f"WITH {FIELD_VOLUME} SELECT * FROM vb", r="dvdt:3 q_in q_out q_r error:3", t="ts")
+def b12_field_volumes(v):
+    return field_budgets(v)["volume"]
+
+
+@query(f"WITH {FIELD_VOLUME} SELECT run, cv, avg(error) AS mean_error, 100 * avg(error) / avg(q_r) AS pct_of_rivers, avg(abs(error)) / avg(abs(dvdt)) AS abs_per_storage, sqrt(avg(error * error)) AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY run, cv ORDER BY ts) AS i FROM vb WHERE error IS NOT NULL) WHERE i > 5 GROUP BY run, cv", r="mean_error:3 pct_of_rivers:3 abs_per_storage rmse:3")
+def b12_field_stats(v):
+    return field_budgets(v)["stats"]
+
+
+@query(f"WITH {FIELDS}, {deriv_sql('store', 'v_salt', 'dsdt')} SELECT run, cv, ts, dsdt, s_in, s_out, -dsdt + s_in + s_out AS error FROM dsdt LEFT JOIN ex USING (cv, ts)", r="dsdt:2 s_in:4 s_out:4 error:2", t="ts")
+def b12_field_salt(v):
+    return field_budgets(v)["salt"]
+
+
+@query(f"WITH {FIELDS}, {deriv_sql('store', 'v_doxg', 'dcdt')}, base AS (SELECT run, cv, ts, dcdt, c_doxg_in, c_doxg_out, r_doxg, growth FROM dcdt LEFT JOIN ex USING (cv, ts) LEFT JOIN riv USING (cv, ts) LEFT JOIN store USING (run, cv, ts)), {godin_sql('base', ['dcdt', 'c_doxg_in', 'c_doxg_out', 'r_doxg', 'growth'], 'g', 'run, cv')} SELECT *, dcdt - coalesce(c_doxg_in, 0) - coalesce(c_doxg_out, 0) - coalesce(r_doxg, 0) - coalesce(growth, 0) AS source_sink FROM g WHERE dcdt IS NOT NULL", r="dcdt:2 c_doxg_in:4 c_doxg_out:4 r_doxg:4 growth:2 source_sink:2", t="ts")
+def b12_field_constituent(v):
+    return field_budgets(v)["doxg"]

@@ -49,6 +49,15 @@ FROM {events} GROUP BY 1, 2, 3, 4, event_id % 10
 """,
     "v_hourly": """
 SELECT date_trunc('hour', ts) AS ts, CAST(sum(value) AS DOUBLE) AS v, count(*) AS n FROM {events} GROUP BY 1
+""",
+    "v_field_hourly": """
+SELECT CASE WHEN event_type IN ('view', 'click') THEN 'control' ELSE 'scenario' END AS run,
+       date_trunc('hour', ts) AS ts, CAST(user_id + 1 AS INT) AS node_id, CAST(event_id % 10 + 1 AS INT) AS layer,
+       avg(value) AS doxg, 5.0 + avg(value) / 50.0 AS growth, 25.0 + avg(value) / 100.0 AS salinity
+FROM {events} GROUP BY 1, 2, 3, 4
+""",
+    "v_surface_hourly": """
+SELECT run, ts, node_id, avg(doxg) / 100.0 - 0.5 AS zeta FROM v_field_hourly GROUP BY run, ts, node_id
 """,
     "v_ele3d": """
 SELECT CAST(floor(step / 2) AS INT) AS t, CAST(step % 2 + 1 AS INT) AS layer, ele_id,
