@@ -193,11 +193,18 @@ def l15_classify_stream(v):
     return L.classify_stream(clim(v), ["river"])
 
 
-@query("""WITH c AS (SELECT node_id, CASE WHEN node_id % 3 = 0 THEN 'Snow' WHEN node_id % 3 = 1 THEN 'Rain-dominated' ELSE 'Rain-snow Mix' END AS class FROM v_source_node)
-SELECT date, node_id, discharge * coalesce(factor, 1) AS discharge, nh4 FROM v_loading JOIN c USING (node_id) LEFT JOIN v_flow_factor USING (date, class)""", r="discharge nh4")
+SOURCES = PEAKS.replace("v_hydrograph", "(SELECT fvcom_id AS river, date, discharge FROM v_loading)")
+
+
+@query(f"""WITH {SOURCES}, big AS (SELECT *, row_number() OVER (PARTITION BY river ORDER BY y DESC) AS k FROM pk WHERE prominence >= 0.0008),
+f AS (SELECT river, max(day) - 1 AS last_peak, count(*) AS n, max(y) FILTER (k = 2) AS second FROM big GROUP BY river),
+c AS (SELECT river AS fvcom_id, CASE WHEN last_peak < 200 THEN 'Rain-dominated' WHEN n = 1 OR second < 0.003 THEN 'Snow' WHEN n > 1 THEN 'Rain-snow Mix' END AS class
+  FROM f JOIN v_source_node ON fvcom_id = river WHERE source_type = 'River')
+SELECT date, node_id, discharge * coalesce(factor, 1) AS discharge, nh4 / coalesce(factor, 1) AS nh4, doxg FROM v_loading LEFT JOIN c USING (fvcom_id) LEFT JOIN v_flow_factor USING (date, class)""", r="discharge nh4 doxg")
 def l16_flow_scenario(v):
-    kind = F.when(F.col("node_id") % 3 == 0, "Snow").when(F.col("node_id") % 3 == 1, "Rain-dominated").otherwise("Rain-snow Mix")
-    return L.flow_scenario(v("v_loading"), v("v_source_node").withColumn("class", kind), v("v_flow_factor"), ["nh4"]).select("date", "node_id", "discharge", "nh4")
+    """The rivers by their classes; point sources stay."""
+    out = L.flow_scenario(v("v_loading"), v("v_source_node"), v("v_flow_factor"), ["nh4", "doxg"], "constload", source_type="River")
+    return out.select("date", "node_id", "discharge", "nh4", "doxg")
 
 
 SHEET = "sheet AS (SELECT CAST((s_suppkey - m) * 11 + k AS BIGINT) AS row, 'C' || CAST(c AS VARCHAR) AS constituent, s_name AS text, CAST(s_suppkey % 7 + k * c AS DOUBLE) AS value FROM supplier, (SELECT min(s_suppkey) AS m FROM supplier) mm, range(0, 11) kk(k), (VALUES (1), (2)) cc(c))"
