@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from estuary.plans.base import Book
@@ -48,6 +50,16 @@ def s5_append_run(v):
     return v.spark.read.parquet(path).select("run", "ts", "node_id", "doxg")
 
 
+@query("SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts <= TIMESTAMP '2024-01-09 18:00:00'", r="value", t="ts")
+def s1_time_range(v):
+    """All events in a table of files by time, and of these a range, which opens the files that hold it."""
+    path = scratch(v.spark, "events")
+    v("events").select("event_id", "ts", "value").repartitionByRange(16, "ts").write.parquet(path)
+    store.index_times(v.spark, path)
+    start, end = datetime.datetime(2024, 1, 5, 6), datetime.datetime(2024, 1, 9, 18)
+    return store.read_range(v.spark, path, ["event_id", "ts", "value"], start, end)
+
+
 @query("SELECT node_id, name, fvcom_id FROM v_source_node")
 def s6_write_table(v):
     path = scratch(v.spark, "table")
