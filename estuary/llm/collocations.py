@@ -2,8 +2,8 @@
 
 Each search level hashes the phrases whose two halves of one word less may be frequent. The hashes' counts are never
 under those of the phrases, and a bit filter of fixed size carries the frequent ones to the next level, so no frequent
-phrase is lost. What is left is spelled out and laid into double-array tries of bounded size; one scan a trie counts
-all phrases in it exactly.
+phrase is lost. What is left is spelled out, each by one text that holds it, and laid into double-array tries of
+bounded size; one scan a trie counts all phrases in it exactly.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,7 +32,7 @@ FILTER_BITS = 26
 #: Phrases of a trie, which bounds what the driver builds and every task holds: about 80 MB.
 PHRASES_AT_ONCE = 250_000
 #: Bytes of text that a task takes at a time.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: Parts of a language that are ranked by themselves before their first rows meet.
 RANKED_APART = 256
 
@@ -50,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts one after another: a number for each different word, its piece, and its language."""
+    """The words of some texts one after another: a number for each different word, its piece, language and text."""
 
     def __init__(self, texts: list[bytes], langs: list[str]):
         data = b"\n".join(texts).lower()  # a line end ends a piece, so no phrase spans two texts
@@ -63,13 +63,14 @@ class Words:
         words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
         self.distinct = words.dictionary
         self.word = words.indices.to_numpy()
-        breaks = np.flatnonzero(kind == 2)
-        self.piece = np.searchsorted(breaks, start).astype(np.int32)
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), start).astype(np.int32)
         self.langs = sorted(set(langs))
         code = {lang: i for i, lang in enumerate(self.langs)}
         begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])[:-1]))
-        text = np.searchsorted(begins, start, side="right") - 1
-        self.lang = np.array([code[x] for x in langs], np.int32)[text]
+        self.text = (np.searchsorted(begins, start, side="right") - 1).astype(np.int32)
+        self.lang = np.array([code[x] for x in langs], np.int32)[self.text]
+        self.texts = texts
+        self._hashes: list[np.ndarray] = []
 
     def together(self, k: int) -> np.ndarray:
         """Whether the k words from each position on stand in one piece."""
@@ -80,17 +81,26 @@ class Words:
         """64 bits of the language and the k words from each position on."""
         import xxhash
 
-        own = np.array([xxhash.xxh64_intdigest(w) for w in self.distinct.to_pylist()], np.uint64)
-        own = own[self.word] if len(own) else own
-        roots = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], np.uint64)
-        out = roots[self.lang] if len(roots) else own
-        for i in range(k):
-            n = max(0, len(own) - i)
-            out = mixed(out[:n] * _MIX[2] + own[i:])
-        return out
+        if not self._hashes:
+            own = np.array([xxhash.xxh64_intdigest(w) for w in self.distinct.to_pylist()], np.uint64)
+            self._own = own[self.word]
+            roots = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], np.uint64)
+            self._hashes.append(mixed(roots[self.lang] * _MIX[2] + self._own))
+        while len(self._hashes) < k:
+            n = max(0, len(self._own) - len(self._hashes))
+            self._hashes.append(mixed(self._hashes[-1][:n] * _MIX[2] + self._own[len(self._hashes) :]))
+        return self._hashes[k - 1]
+
+    def owners(self) -> np.ndarray:
+        """31 bits that tell each position's text."""
+        import xxhash
+
+        return np.array([xxhash.xxh32_intdigest(x) >> 1 for x in self.texts], np.int64)[self.text]
 
-    def phrase(self, at: int, k: int) -> str:
-        return b" ".join(self.distinct[int(i)].as_py() for i in self.word[at : at + k]).decode()
+    def phrases(self, at: np.ndarray, k: int) -> pa.Array:
+        """The k words from each of the positions on, with spaces between them."""
+        parts = [self.distinct.take(pa.array(self.word[at + i])) for i in range(k)]
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())).cast(pa.string())
 
 
 def read_words(batches):
@@ -100,8 +110,12 @@ def read_words(batches):
             yield Words(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lang").to_pylist())
 
 
-def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64((1 << FILTER_BITS) - 1)
+_MASK = (1 << FILTER_BITS) - 1
+
+
+def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places (uint64, FILTER_BITS of each count) are set."""
+    at = at & np.uint64(_MASK)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -116,43 +130,53 @@ def hopeful(words: Words, k: int, bits: np.ndarray | None) -> tuple[np.ndarray,
 
 
 def frequent_hashes(texts: DataFrame, k: int, bits, least: int) -> DataFrame:
-    """(h, n): hashes of phrases of k words with the least count or more. Each block sends a row for a hash."""
+    """(h, n, owner): hashes of phrases of k words with the least count or more, and the least owner of a text with one.
+
+    Each block sends a row for a hash.
+    """
 
     def count(batches):
         for words in read_words(batches):
-            h, n = np.unique(hopeful(words, k, bits and bits.value)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    rows = texts.mapInArrow(count, "h long, n long")
-    return rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
-def filter_of(keys: DataFrame):
-    """A broadcast bit filter of the hashes. It has 8 MB at any number of keys, and so has what the driver collects."""
-    at = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
-    found = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+            at, h = hopeful(words, k, bits and bits.value)
+            order = np.argsort(h)
+            h, owner = h[order], words.owners()[at[order]]
+            first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+            n = np.diff(np.append(first, len(h)))
+            least_owner = np.minimum.reduceat(owner, first) if len(first) else owner
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n), pa.array(least_owner.astype(np.int32))], names=["h", "n", "owner"])
+
+    rows = texts.mapInArrow(count, "h long, n long, owner int")
+    return rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")).where(F.col("n") >= least)
+
+
+def filter_of(keys: DataFrame, place: Column):
+    """A broadcast bit filter of the keys' places. It has 8 MB at any number of keys, and so has what the driver collects."""
+    at = place.bitwiseAND(F.lit(_MASK))
+    bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    found = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("line")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    bits[found["line"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def spelled(texts: DataFrame, filters: dict) -> DataFrame:
-    """(lang, phrase, h, words): the phrases that pass their level's filter; with phrase null, a language's words."""
+def spelled(texts: DataFrame, filters: dict, owners) -> DataFrame:
+    """(lang, phrase, h, words): the phrases that pass their level's filter; with phrase null, a language's words.
+
+    A phrase is spelled by its owner alone, the text that frequent_hashes() chose: a filter of both tells which that is.
+    """
+    names = ["lang", "phrase", "h", "words"]
 
     def spell(batches):
         for words in read_words(batches):
-            rows = []
+            langs, owner = pa.array(words.langs, pa.string()), words.owners().astype(np.uint64)
             for k, bits in filters.items():
                 at, h = hopeful(words, k, filters[k - 1].value if k - 1 in filters else None)
-                ok = passes(bits.value, h)
-                one, first = np.unique(h[ok], return_index=True)
+                ok = passes(bits.value, h) & passes(owners.value, (h >> np.uint64(32)) ^ owner[at])
+                h, first = np.unique(h[ok], return_index=True)
                 at = at[ok][first]
-                rows += [(words.langs[words.lang[i]], words.phrase(i, k), x, 0) for i, x in zip(at.tolist(), one.view(np.int64).tolist(), strict=True)]
-            each = np.bincount(words.lang, minlength=len(words.langs)).tolist()
-            rows += [(lang, None, 0, n) for lang, n in zip(words.langs, each, strict=True)]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "phrase", "h", "words"])
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.lang[at])), words.phrases(at, k), pa.array(h.view(np.int64)), pa.array(np.zeros(len(h), np.int64))], names=names)
+            each = np.bincount(words.lang, minlength=len(words.langs))
+            yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.string()), pa.array(np.zeros(len(langs), np.int64)), pa.array(each)], names=names)
 
     rows = texts.mapInArrow(spell, "lang string, phrase string, h long, words long")
     return rows.groupBy("lang", "phrase", "h").agg(F.sum("words").alias("words"))
@@ -326,16 +350,18 @@ def mine(
     read whole; one that is longer than BLOCK is a block of its own. Other columns are ignored, whatever their names.
     Empty table: no rows. Equal scores rank by a, then by the phrase's bytes.
 
-    The driver and the tasks hold a filter of 8 MB and a trie of `at_once` phrases at most; more phrases take more
+    The driver and the tasks hold filters of 8 MB and a trie of `at_once` phrases at most; more phrases take more
     tries, each with a scan of its own.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     filters, levels = {}, []
     for k in range(2, LONGEST + 1):
         levels.append(written(frequent_hashes(texts, k, filters.get(k - 1), least), "phrase-hashes"))
-        filters[k] = filter_of(levels[-1])
-    names = written(spelled(texts, filters), "phrases-spelled")
-    keys = functools.reduce(DataFrame.union, levels).select("h")
+        filters[k] = filter_of(levels[-1], F.col("h"))
+    keys = functools.reduce(DataFrame.union, levels)
+    owners = filter_of(keys, F.shiftrightunsigned("h", 32).bitwiseXOR(F.col("owner").cast("long")))
+    names = written(spelled(texts, filters, owners), "phrases-spelled")
+    keys = keys.select("h")
     long = written(names.where("phrase is not null").join(keys, "h", "left_semi").select("lang", "phrase"), "phrase-candidates")
     single = long.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
     found = counted(texts, long.union(single), at_once).where(F.col("f") >= least)
