@@ -665,6 +665,27 @@ def test_planted_forms_that_the_fixed_rules_miss(spark):
     assert wrong <= 0.05 * len(false), (wrong, len(false))
 
 
+@pytest.mark.parametrize("form", [0, 1, 2])
+def test_forms_that_the_trees_never_saw(spark, form):
+    """A form of every kind is left out of the learning and then planted: what is found of it, and of the look-alikes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs.where("doc_id % 2 = 0"), held_out=form)
+    found, every, wrong = collections.Counter(), collections.Counter(), 0
+    others = [r.text or "" for r in docs.where("doc_id % 2 = 1").orderBy("doc_id").limit(2000).collect()]
+    for text in others:
+        for start, kind, end in pii.base_spans(text)[:3]:
+            before, after = text[max(0, start - 128) : start], text[end : end + 128]
+            new = pii.rewritings(kind, text[start:end])
+            if len(new) > form and not pii.base_spans(new[form]):
+                spans = pii.all_spans(before + new[form] + after, model)[1]
+                every[kind] += 1
+                found[kind] += any(k == kind and min(b, len(before) + len(new[form])) - max(a, len(before)) >= 0.8 * len(new[form]) for a, k, b in spans)
+    _, false = planted(others, 3)
+    wrong = sum(any(a < end and start < b for a, _, b in pii.all_spans(text, model)[1]) for text, start, end in false)
+    print("held out", form, {pii.KINDS[k]: (found[k], n) for k, n in every.items()}, "look-alikes", wrong, len(false))
+    assert sum(found.values()) >= 0.5 * sum(every.values()) and wrong <= 0.05 * len(false)
+
+
 def test_dense_and_hostile_texts_take_linear_time(spark):
     import time
 
