@@ -6,12 +6,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from estuary.llm.common import encoding, keyed_texts, slices
 from estuary.session import scratch, written
@@ -142,10 +144,12 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     groups = written(token_groups(located(docs, id_col, text_col), length, ranks_path), "order-ids", **SMALL_GROUPS)
-    starts, ids = {}, 0
-    # one row for each split of the input
-    for r in groups.groupBy("chunk").agg(F.min(F.struct("file", "at")).alias("place"), F.sum("n").alias("n")).orderBy("place.file", "place.at", "chunk").collect():
-        starts[r.chunk], ids = ids, ids + r.n
+    # one row for each split of the input, in the order of files; the running sum of a few bytes a split
+    chunks = groups.groupBy("chunk").agg(F.min(F.struct("file", "at")).alias("place"), F.sum("n").alias("n"))
+    before = Window.orderBy("place.file", "place.at", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    table = chunks.select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n").toArrow().sort_by("chunk")
+    ids = pc.sum(table["n"]).as_py() or 0
+    starts = spark.sparkContext.broadcast((table["chunk"].to_numpy(), table["start"].to_numpy()))
     id_type = groups.schema["doc_ids"].dataType
     if not ids:
         return spark.createDataFrame([], T.StructType([T.StructField("slot", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("record", T.LongType()), T.StructField("doc_ids", id_type), T.StructField("ids_crc32", T.LongType())]))
@@ -154,7 +158,8 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     sample = zstandard.decompress(groups.select("blob").first().blob)[:DICTIONARY]
 
     def starts_of(batch) -> np.ndarray:
-        return np.array([starts[c] for c in batch.column("chunk").to_pylist()], np.int64) + batch.column("before").to_numpy()
+        chunk, start = starts.value
+        return start[np.searchsorted(chunk, batch.column("chunk").to_numpy())] + batch.column("before").to_numpy()
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor().decompress
