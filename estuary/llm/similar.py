@@ -18,6 +18,8 @@ SHINGLE, SEED = 5, 42
 SIMILARITY = 0.8
 #: Bands of so many rows: two texts of a similarity of 0.8 miss each other in all bands once in 70.
 BANDS, ROWS = 14, 6
+#: Hubs are drawn by the hash of their key: so many values of it.
+DRAWN = 1 << 20
 
 _RNG = np.random.default_rng(8)
 _TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,12 +74,12 @@ def similar_links(firsts: DataFrame, texts: DataFrame, least: float = SIMILARITY
 
     firsts: fp, first (an id), size and bands, a row for a fingerprint; texts: first, text. Texts meet where a band's
     keys are equal. Of those that share one, each is compared with a hub, the text that meets most others, and linked
-    to it if their sets of shingles are as similar as asked. Texts that are not stay in the group, which takes its next
-    hub, until no group has two: so a round compares a text once for each of its bands, groups of near copies cost one
-    comparison a text whatever their size, and as many rounds are run as the largest group has hubs. No text is linked
-    without the exact check. Two texts of a similarity of 0.8 share no band once in 70; and a text that links to a hub
-    is not compared with the others of that group, which matters where they are near to it and not to the hub. Texts
-    without words, and those whose ids are all null, are not compared.
+    to it if their sets of shingles are as similar as asked. Texts that are not stay in the group, which takes about
+    twice as many hubs as the round before, until no group has two. So groups of near copies cost one comparison a text
+    whatever their size; only texts that meet and are not similar are compared with many hubs. No text is linked without
+    the exact check. Two texts of a similarity of 0.8 share no band once in 70; and a text that links to a hub is not
+    compared with the others of that group, which matters where they are near to it and not to the hub. Texts without
+    words, and those whose ids are all null, are not compared.
     """
     members = firsts.where("size > 0 and first is not null").select(F.col("fp").alias("key"), "first", F.posexplode("bands").alias("band", "part"))
     on = ["band", "part"]
@@ -87,23 +89,26 @@ def similar_links(firsts: DataFrame, texts: DataFrame, least: float = SIMILARITY
     sets = written(shingle_sets(texts.join(asked, "first").select("key", "text")).withColumn("size", F.size("shingles")), "similar-sets")
     known = asked.join(sets.select("key", "size"), "key").select("key", "size", "degree")
     left = written(met.select("key", *on).join(known, "key"), "similar-left")
-    found, done = [], None
+    found, done, many = [], None, 1
     while True:
-        hubs = left.groupBy(*on).agg(F.max(F.struct("degree", "key", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-        hubs = hubs.select(*on, F.col("hub.key").alias("hub"), F.col("hub.size").alias("hub_size"))
-        tried = written(join_dealt(left, hubs, on, "key").where("key <> hub"), "similar-tried")
-        if tried.isEmpty():
+        groups = left.groupBy(*on).agg(F.count("*").alias("n"), F.max(F.struct("degree", "key")).alias("top")).where("n > 1")
+        chosen = (F.col("key") == F.col("top.key")) | (F.pmod(F.xxhash64("key"), F.lit(DRAWN)) * F.col("n") < F.lit(DRAWN * (many - 1)))
+        marked = written(join_dealt(left, groups, on, "key").select("key", "size", "degree", *on, chosen.alias("chosen")), "similar-marked")
+        if marked.isEmpty():
             break
+        hubs = marked.where("chosen").select(*on, F.col("key").alias("hub"), F.col("size").alias("hub_size"))
+        tried = written(join_dealt(marked.select("key", "size", *on), hubs, on, "key").where("key <> hub"), "similar-tried")
         fits = F.least("size", "hub_size") >= least * F.greatest("size", "hub_size")
         pairs = tried.where(fits).select("hub", "key").distinct()
         if done is not None:
             pairs = pairs.join(done, ["hub", "key"], "left_anti")
         pairs = written(pairs, "similar-pairs")
-        good = written(verified(pairs, sets, least), "similar-good")
-        found.append(good)
+        found.append(written(verified(pairs, sets, least), "similar-good"))
         done = pairs if done is None else done.union(pairs)
         linked = functools.reduce(DataFrame.union, found).distinct()
-        left = written(tried.join(linked, ["hub", "key"], "left_anti").select("key", "size", "degree", *on), "similar-left")
+        reached = tried.join(linked, ["hub", "key"], "left_semi").select("key", *on).distinct()
+        rest = marked.where("not chosen").select("key", "size", "degree", *on)
+        left, many = written(rest.join(reached, ["key", *on], "left_anti"), "similar-left"), 2 * many
     if not found:
         return firsts.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     return functools.reduce(DataFrame.union, found).select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()
