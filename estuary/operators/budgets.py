@@ -191,7 +191,7 @@ def volume_rivers(loading: DataFrame, sources: DataFrame, members: DataFrame, lo
     mine = sources.join(members.select("cv", "node_id").distinct(), "node_id").select("cv", "node_id")
     sums = {"q_r": F.sum("discharge")} | {name: F.sum(F.col("discharge") * F.col(c)) for name, c in loads.items()}
     found = loading.join(mine, "node_id").groupBy("cv", "date").agg(*(x.alias(c) for c, x in sums.items()))
-    every = loading.select("date").distinct().join(members.select("cv").distinct(), how="cross")
+    every = loading.select("date").distinct().join(times.select("cv").distinct(), how="cross")
     daily = every.join(found, ["cv", "date"], "left").select("cv", F.col("date").cast("timestamp").alias(time), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in sums))
     asked = times.select("cv", F.col(time).cast("timestamp").alias(time)).distinct()
     out = asked

@@ -246,7 +246,7 @@ MEMBERS = " UNION ALL ".join(f"SELECT '{cv}' AS cv, node_id FROM v_mesh_node WHE
 DIRECTIONS = ", ".join(f"('{cv}', '{section}', {str(into).lower()})" for cv, bounds in BOUNDS.items() for section, into in bounds.items())
 FIELDS = f"""{AREA}, {SIGMA}, member AS ({MEMBERS}), dir AS (SELECT * FROM (VALUES {DIRECTIONS}) d(cv, section, toward)),
 dw AS (SELECT k - 4 AS k, list_extract([{PHI}], CAST(k + 1 AS BIGINT)) AS w FROM range(0, 9) r(k)),
-load AS (SELECT date + 10227 AS date, node_id, discharge, doxg FROM v_loading), ends AS (SELECT CAST(max(date) AS TIMESTAMP) AS last FROM load),
+load AS (SELECT date + CAST((SELECT CAST(min(ts) AS DATE) FROM v_section_flux) - (SELECT min(date) FROM v_loading) AS INTEGER) AS date, node_id, discharge, doxg FROM v_loading), ends AS (SELECT CAST(max(date) AS TIMESTAMP) AS last FROM load),
 store AS (SELECT run, cv, ts, sum(area * dz * (h + zeta)) AS volume, sum(area * dz * (h + zeta) * salinity) AS v_salt, sum(area * dz * (h + zeta) * doxg) AS v_doxg, sum(growth * area * dz * (h + zeta) / 86400) AS growth
   FROM v_field_hourly JOIN v_surface_hourly USING (run, ts, node_id) JOIN na USING (node_id) JOIN v_mesh_node USING (node_id) JOIN sigma USING (layer) JOIN member USING (node_id) WHERE ts <= (SELECT last FROM ends) GROUP BY run, cv, ts),
 flow AS (SELECT cv, ts, CASE WHEN toward THEN q ELSE -q END AS q, salt * (1 + zeta / h) AS s, (20 + salt / 2) * (1 + zeta / h) AS c FROM v_section_flux JOIN dir USING (section) WHERE ts <= (SELECT last FROM ends)),
@@ -261,12 +261,13 @@ FIELD_VOLUME = f"{FIELDS}, {deriv_sql('store', 'volume', 'dvdt')}, base AS (SELE
 
 
 def field_budgets(v):
-    """Budgets of all volumes and runs from the hourly fields; the loading's dates are moved to those of the fields."""
+    """Budgets of all volumes and runs from the hourly fields; the loading's dates are moved so that it begins with the fields."""
     nodes = v("v_mesh_node")
     reach = F.array(*(F.struct(F.lit(cv).alias("cv"), F.lit(low).alias("low"), F.lit(high).alias("high")) for cv, (low, high) in REACHES.items()))
     members = nodes.select("node_id", "x", F.explode(reach).alias("r")).where("x >= r.low AND x < r.high").select("r.cv", "node_id")
     directions = v.spark.createDataFrame([(cv, s, into) for cv, bounds in BOUNDS.items() for s, into in bounds.items()], "cv string, section string, into boolean")
-    loading = v("v_loading").withColumn("date", F.date_add("date", 10227))
+    began = v("v_section_flux").agg(F.min("ts").cast("date").alias("began")).join(v("v_loading").agg(F.min("date").alias("first")), how="cross")
+    loading = v("v_loading").join(began, how="cross").withColumn("date", F.date_add("date", F.date_diff("began", "first"))).drop("began", "first")
     flux = v("v_section_flux").withColumn("doxg", 20 + F.col("salt") / 2)
     fixed = {"doxg": {"rates": {"growth": "per_day"}, "river": "doxg"}}
     return B.budgets_of_fields(
