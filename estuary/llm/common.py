@@ -59,11 +59,11 @@ def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key, *(c for c in df.columns if c != key)).limit(limit)
 
 
-def hot_keys(rows: DataFrame, on: list[str], share: int = 1000) -> DataFrame:
-    """The keys with more than one in so many of all rows: fewer than `share` of them, at any size."""
+def hot_keys(rows: DataFrame, on: list[str], share: int = 1000, least: int = 1) -> DataFrame:
+    """The keys with more than one in so many of all rows, and `least` rows: fewer than `share` of them, at any size."""
     counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
     often = counts.agg((F.sum("n") / share).alias("often"))
-    return counts.join(F.broadcast(often), F.col("n") > F.col("often")).select(*on)
+    return counts.join(F.broadcast(often), (F.col("n") > F.col("often")) & (F.col("n") >= least)).select(*on)
 
 
 def join_dealt(many: DataFrame, few: DataFrame, on: list[str], by: str, hot: DataFrame | None = None, parts: int = 64) -> DataFrame:
