@@ -77,11 +77,11 @@ def similar_links(firsts: DataFrame, texts: DataFrame, least: float = SIMILARITY
     firsts: fp, first (an id), size and bands, a row for a fingerprint; texts: first, text. Texts meet where a band's
     keys are equal. Of those that share one, each is compared with a hub, the text that meets most others, and linked
     to it if their sets of shingles are as similar as asked. Texts that are not stay in the group, which takes about
-    twice as many hubs as the round before, until no group has two. Texts that are linked to one hub, in this group or
-    another, are one component and are not compared; so groups of near copies cost about a comparison a text whatever
-    their size, and only texts that meet, are not similar, and not joined by others are compared with many hubs. No text
-    is linked without the exact check. Two texts of a similarity of 0.8 share no band once in 70; that is all that is
-    lost. Texts without words, and those whose ids are all null, are not compared.
+    twice as many hubs as the round before, until no group has two. So groups of near copies cost one comparison a text
+    whatever their size; only texts that meet and are not similar are compared with many hubs. No text is linked without
+    the exact check. Two texts of a similarity of 0.8 share no band once in 70; and a text that links to a hub is not
+    compared with the others of that group, which matters where they are near to it and not to the hub. Texts without
+    words, and those whose ids are all null, are not compared.
     """
     members = firsts.where("size > 0 and first is not null").select(F.col("fp").alias("key"), "first", F.posexplode("bands").alias("band", "part"))
     on = ["band", "part"]
@@ -90,33 +90,28 @@ def similar_links(firsts: DataFrame, texts: DataFrame, least: float = SIMILARITY
     asked = written(met.groupBy("key", "first").agg(F.sum("n").alias("degree")), "similar-asked")
     sets = written(shingle_sets(texts.join(asked, "first").select("key", "text")).withColumn("size", F.size("shingles")), "similar-sets")
     known = asked.join(sets.select("key", "size"), "key").select("key", "size", "degree")
-    left = written(met.select("key", *on).join(known, "key").withColumn("label", F.col("key")), "similar-left")
+    left = written(met.select("key", *on).join(known, "key"), "similar-left")
     hot = written(hot_keys(left, on, least=HOT), "similar-hot")  # groups only shrink
     found, done, many = [], None, 1
     while True:
-        spread = F.col("low") < F.col("high")
-        groups = left.groupBy(*on).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("degree", "key")).alias("top")).where(spread)
+        groups = left.groupBy(*on).agg(F.count("*").alias("n"), F.max(F.struct("degree", "key")).alias("top")).where("n > 1")
         chosen = (F.col("key") == F.col("top.key")) | (F.pmod(F.xxhash64("key"), F.lit(DRAWN)) * F.col("n") < F.lit(DRAWN * (many - 1)))
-        marked = written(join_dealt(left, groups, on, "key", hot).select("key", "size", "degree", "label", *on, chosen.alias("chosen")), "similar-marked")
+        marked = written(join_dealt(left, groups, on, "key", hot).select("key", "size", "degree", *on, chosen.alias("chosen")), "similar-marked")
         if marked.isEmpty():
             break
-        hubs = marked.where("chosen").select(*on, F.col("key").alias("hub"), F.col("size").alias("hub_size"), F.col("label").alias("hub_label"))
+        hubs = marked.where("chosen").select(*on, F.col("key").alias("hub"), F.col("size").alias("hub_size"))
+        tried = written(join_dealt(marked.select("key", "size", *on), hubs, on, "key", hot).where("key <> hub"), "similar-tried")
         fits = F.least("size", "hub_size") >= least * F.greatest("size", "hub_size")
-        tried = join_dealt(marked.select("key", "size", "label", *on), hubs, on, "key", hot).where(fits & (F.col("label") != F.col("hub_label")))
-        pairs = tried.select("hub", "key").distinct()
+        pairs = tried.where(fits).select("hub", "key").distinct()
         if done is not None:
             pairs = pairs.join(done, ["hub", "key"], "left_anti")
         pairs = written(pairs, "similar-pairs")
         found.append(written(verified(pairs, sets, least), "similar-good"))
         done = pairs if done is None else done.union(pairs)
-        # texts that link to one hub are in one component, whichever group they met it in: a label, followed once
-        linked = functools.reduce(DataFrame.union, found)
-        label = linked.groupBy("key").agg(F.min("hub").alias("label"))
-        onward = label.select(F.col("key").alias("label"), F.col("label").alias("next"))
-        label = written(label.join(onward, "label", "left").select("key", F.least("label", "next").alias("label")), "similar-labels")
+        linked = functools.reduce(DataFrame.union, found).distinct()
+        reached = tried.join(linked, ["hub", "key"], "left_semi").select("key", *on).distinct()
         rest = marked.where("not chosen").select("key", "size", "degree", *on)
-        left = written(rest.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")), "similar-left")
-        many *= 2
+        left, many = written(rest.join(reached, ["key", *on], "left_anti"), "similar-left"), 2 * many
     if not found:
         return firsts.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     return functools.reduce(DataFrame.union, found).select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()
