@@ -33,3 +33,19 @@ def test_long_regions_meet_edges_by_cell(spark):
     spots = [tuple(p) for p in rng.uniform((-2, -1), (LONG + 2, 5), (3000, 2))] + [(x, y) for x, y, _, _ in edges]
     spots += [(grid.x + (i + 0.5) * grid.width, grid.y + (j + 0.5) * grid.width) for i in range(grid.across) for j in range(grid.rows)]
     assert inside(spark, spots, edges) == {i for i, p in enumerate(spots) if parity(edges, *p)}
+
+
+def test_long_regions_with_a_tolerance(spark):
+    """Nodes and edge middles lie on borders: they meet the edges of their own cell, and so do points beside an edge."""
+    edges = strip()
+    grid = R.Grid(0.0, 0.0, LONG, 4.0, len(edges), 0.1)
+    rows = R.edge_cells(spark.createDataFrame(edges, RING), grid)
+    assert rows.groupBy("i", "j").count().agg(F.max("count")).first()[0] <= 24
+    spots = [(x, y) for x, y, _, _ in edges] + [((a + c) / 2, (b + d) / 2) for a, b, c, d in edges] + [(x - 0.05, y + 0.05) for x, y, _, _ in edges]
+    near = lambda x, y: any(_off(x, y, *e) <= 0.1 + 1e-9 for e in edges)
+    assert inside(spark, spots, edges, 0.1) == {i for i, p in enumerate(spots) if near(*p) or parity(edges, *p)}
+
+
+def _off(x, y, x1, y1, x2, y2):
+    t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+    return math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
