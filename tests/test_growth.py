@@ -49,3 +49,13 @@ def test_long_regions_with_a_tolerance(spark):
 def _off(x, y, x1, y1, x2, y2):
     t = max(0.0, min(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
     return math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
+
+
+def test_points_in_a_corner_of_a_long_region(spark):
+    """Stations that crowd one end are joined to its few cells' edges: no edge of the far end is met."""
+    edges = strip()
+    grid = R.Grid(0.0, 0.0, LONG, 4.0, len(edges), 1e-9)
+    met = R.edge_cells(spark.createDataFrame(edges, RING), grid).where(F.col("i") <= grid.across // 20)
+    assert met.count() < len(edges) / 4 and met.agg(F.max(F.least("x1", "x2"))).first()[0] < LONG / 4
+    spots = [((397 * s % 3000) / 1000, (211 * s % 4000) / 1000) for s in range(3000)]
+    assert inside(spark, spots, edges) == {i for i, p in enumerate(spots) if parity(edges, *p)}
