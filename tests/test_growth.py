@@ -1,15 +1,16 @@
 """What the steps of long and large inputs cost, and their results there."""
 
+import datetime
 import math
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
+from estuary.operators import observations as V
 from estuary.operators import region as R
 from tests.test_regions_and_stores import RING, inside, ring
 
-LONG = 300
+LONG, T0 = 300, datetime.datetime(2024, 1, 5)
 
 
 def strip():
@@ -59,3 +60,17 @@ def test_points_in_a_corner_of_a_long_region(spark):
     assert met.count() < len(edges) / 4 and met.agg(F.max(F.least("x1", "x2"))).first()[0] < LONG / 4
     spots = [((397 * s % 3000) / 1000, (211 * s % 4000) / 1000) for s in range(3000)]
     assert inside(spark, spots, edges) == {i for i, p in enumerate(spots) if parity(edges, *p)}
+
+
+def test_observations_in_a_long_region(spark):
+    """select_obs keeps the observations of stations inside, by an index that has no more cells than a few an edge."""
+    edges = strip()
+    places = [(s, f"s{s}", (397 * s % (1000 * LONG)) / 1000, (211 * s % 4000) / 1000) for s in range(500)]
+    station = spark.createDataFrame(places, "location_id int, description string, x double, y double")
+    obs = spark.createDataFrame([(i, i % 500, "o2", T0) for i in range(2000)], "id int, location_id int, parameter_id string, ts timestamp")
+    ring_edges = spark.createDataFrame(edges, RING)
+    want = {i for i in range(2000) if parity(edges, *places[i % 500][2:])}
+    assert {r.id for r in V.select_obs(obs, station, ["o2"], T0, T0, ring_edges).collect()} == want
+    grid = R.Grid(0.0, 0.0, LONG, 4.0, len(edges), 1e-9)
+    sides = R.cell_sides(ring_edges, grid).collect()
+    assert len(sides) == grid.across * grid.rows <= 3 * len(edges) + 1
