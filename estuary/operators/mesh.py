@@ -6,8 +6,10 @@ are small against fields, so joins with them are left to the optimizer, which br
 
 from __future__ import annotations
 
-import functools
+import heapq
+import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,52 +164,107 @@ def layer_volume(nodes: DataFrame, elements: DataFrame, sigma: DataFrame, surfac
     return surface.join(still, "node_id").withColumn("volume", F.col("volume") * (1 + F.col("zeta") / F.col("h"))).drop("area", "dz", "h")
 
 
-#: A bucket of costs is as wide as so many of the longest links.
+#: A tile of the mesh, which one task searches as a whole, has so many times 4,096 elements.
 BUCKET = 8
 
 
-def cheapest(legs: DataFrame, links: DataFrame, keys: list[str], rounds_at_once: int) -> DataFrame:
-    """(keys, ele_id, cost, prev): the least costs from each leg's start, up to its goal at least, by delta-stepping.
-
-    legs: keys, start, goal. Elements wait in buckets of costs. In the lowest one only those take their links whose cost
-    has changed since they last did, until none is left there; then its costs are final, and are written once. As a
-    bucket is wider than any link, what it reaches is compared with itself, the open elements and the bucket before
-    alone. So the rows of a round are those near the front, and all rounds' grow with the elements, not with these times
-    the steps from end to end. Legs whose goal is final take no further part.
+def mesh_tiles(centres: DataFrame) -> DataFrame:
+    """(ele_id, tile): elements in tiles of like size that lie together, by ranges of x and within these of y."""
+    n, x0, x1, y0, y1 = centres.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    parts = max(1, math.ceil(n / (BUCKET * 4096)))
+    wide = max(1, min(parts, round(math.sqrt(parts * (x1 - x0) / (y1 - y0))) if n and y1 > y0 else parts))
+    strips = centres.repartitionByRange(wide, "x").select("ele_id", "y", F.spark_partition_id().alias("strip"))
+    tiles = strips.repartitionByRange(wide * math.ceil(parts / wide), "strip", "y").select("ele_id", F.spark_partition_id().alias("tile"))
+    return written(tiles, "path-tiles")
+
+
+def _search(front: pd.DataFrame, links: pd.DataFrame) -> dict[int, tuple[float, int, int]]:
+    """Least (cost, hops, prev) of the elements that a tile's links reach from its front, those just beyond the tile among them."""
+    around: dict[int, list[tuple[int, float]]] = {}
+    for src, dst, dist in zip(links["src"].tolist(), links["dst"].tolist(), links["dist"].tolist(), strict=True):
+        around.setdefault(src, []).append((dst, dist))
+    best: dict[int, tuple[float, int, int]] = {}
+    heap = list(zip(*(front[c].tolist() for c in ("cost", "hops", "prev", "ele_id")), strict=True))
+    heapq.heapify(heap)
+    while heap:
+        cost, hops, prev, e = heapq.heappop(heap)
+        if e not in best:
+            best[e] = cost, hops, prev
+            for dst, dist in around.get(e, ()):
+                if dst not in best:
+                    heapq.heappush(heap, (cost + dist, hops + 1, e, dst))
+    return best
+
+
+def cheapest(legs: DataFrame, links: DataFrame, keys: list[str], rounds_at_once: int = 4, tiles: DataFrame | None = None) -> DataFrame:
+    """(keys, ele_id, cost, prev): the least costs from each leg's start, up to its goal's cost, by tiles of the mesh.
+
+    legs: keys, start, goal. tiles: ele_id, tile (default: by ranges of ids). A tile is searched as a whole in one task
+    and sends the costs of the elements just beyond it to their tiles; one that has been sent a lower cost is searched
+    again, until none is. Only these costs are kept, so rounds follow the tiles from end to end, not the elements. Every
+    rounds_at_once rounds, what costs as much as a known way to the goal is taken out of the search. Costs are sums from the start on; of equal ones that with
+    the fewest elements counts, then the smallest element before.
     """
-    size = BUCKET * (links.agg(F.max("dist")).first()[0] or 1.0)
-    key = [*keys, "ele_id"]
-    # an element has three links at most
-    around = written(links.groupBy("src").agg(F.collect_list(F.struct("dst", "dist")).alias("out")), "path-around")
-    band = legs.select(*keys, F.col("start").alias("ele_id"), F.lit(0.0).alias("cost"), F.lit(0).alias("prev"), F.lit(True).alias("fresh"))
-    band, floor, done = written(band, "path-front"), 0.0, []
-    goals = legs.select(*keys, F.col("goal").alias("ele_id"))
-    while (low := band.where(F.col("cost") >= floor).agg(F.min("cost")).first()[0]) is not None:
-        limit = (low // size + 1) * size
-        due = F.col("fresh") & (F.col("cost") < limit)
-        while True:
-            for _ in range(rounds_at_once):
-                itself = F.struct("ele_id", "cost", "prev", (F.col("fresh") & ~due).alias("fresh"))
-                step = lambda x: F.struct(x["dst"].alias("ele_id"), (F.col("cost") + x["dist"]).alias("cost"), F.col("ele_id").alias("prev"), F.lit(True).alias("fresh"))
-                onward = F.when(due & F.col("out").isNotNull(), F.transform("out", step)).otherwise(F.array())
-                rows = band.join(around, F.col("ele_id") == F.col("src"), "left").select(*keys, F.explode(F.concat(F.array(itself), onward)).alias("r"))
-                least = F.min(F.struct("r.cost", "r.prev", "r.fresh")).alias("m")
-                band = rows.groupBy(*keys, F.col("r.ele_id").alias("ele_id")).agg(least).select(*key, "m.cost", "m.prev", "m.fresh")
-            band = written(band, "path-front")
-            if band.where(due).isEmpty():
-                break
-        done.append(band.where((F.col("cost") >= floor) & (F.col("cost") < limit)).select(*key, "cost", "prev"))
-        reached = goals.join(done[-1], key).select(*keys)
-        band = written(band.where(F.col("cost") >= limit - size).join(reached, keys, "left_anti"), "path-front")
-        floor = limit
-    return functools.reduce(DataFrame.union, done)
+    if tiles is None:
+        ids = links.select(F.explode(F.array("src", "dst")).alias("ele_id")).union(legs.select(F.explode(F.array("start", "goal")))).distinct()
+        tiles = ids.select("ele_id", F.floor(F.col("ele_id") / (BUCKET * 4096)).cast("int").alias("tile"))
+    tiles = tiles.select("ele_id", F.col("tile").cast("int").alias("tile"))
+    far = tiles.select(F.col("ele_id").alias("dst"), F.col("tile").alias("far"))
+    placed = links.join(tiles.withColumnRenamed("ele_id", "src"), "src").join(far, "dst")
+    placed = written(placed.select("tile", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("dist").cast("double"), "far"), "path-links")
+    ends = written(legs.select(*keys, F.col("start").cast("long").alias("ele_id"), F.col("goal").cast("long").alias("goal")).join(tiles, "ele_id"), "path-ends")
+    key, group = [*keys, "ele_id"], [*keys, "tile"]
+    kept = ["tile", "cost", "hops", "prev", "fresh"]
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ends.select(*keys).schema)
+    sent_type = f"{typed}, ele_id long, tile int, cost double, hops long, prev long, fresh boolean"
+    goals = ends.select(*keys, "goal")
+
+    def send(named: tuple, front: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        best, beyond, here = _search(front, own), dict(zip(own["dst"].tolist(), own["far"].tolist(), strict=True)), named[-1]
+        goal = int(front["goal"].iloc[0])
+        rows = [(*named[:-1], e, t, *best[e], True) for e, t in beyond.items() if t != here and e in best]
+        if goal in best and beyond.get(goal, here) == here:
+            rows.append((*named[:-1], goal, here, *best[goal], False))
+        return pd.DataFrame(rows, columns=[*key, *kept])
+
+    def settle(named: tuple, front: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        best, beyond, here = _search(front, own), dict(zip(own["dst"].tolist(), own["far"].tolist(), strict=True)), named[-1]
+        most = front["bound"].iloc[0]
+        rows = [(*named[:-1], e, c, p) for e, (c, _, p) in best.items() if beyond.get(e, here) == here and not c > most]
+        return pd.DataFrame(rows, columns=[*key, "cost", "prev"])
+
+    def searched(front: DataFrame, asked: DataFrame, task, returns: str) -> DataFrame:
+        """task over the fronts and links of the tiles asked for."""
+        asked = asked.select(*group).distinct()
+        mine, own = front.join(asked, group, "left_semi").join(goals, keys), asked.join(placed, "tile")
+        # new names of columns, as both sides come from one table
+        mine, own = (df.toDF(*df.columns).groupBy(*group) for df in (mine, own))
+        return mine.cogroup(own).applyInPandas(task, returns)
+
+    def bounded(front: DataFrame) -> DataFrame:
+        ways = front.join(goals.withColumnRenamed("goal", "ele_id"), key).select(*keys, F.col("cost").alias("bound"))
+        return front.join(ways, keys, "left")
+
+    none = F.lit(0).cast("long")
+    front = ends.select(*key, "tile", F.lit(0.0).alias("cost"), none.alias("hops"), none.alias("prev"), F.lit(True).alias("fresh"))
+    front = written(front, "path-front")
+    rounds = 0
+    while not front.where("fresh").isEmpty():
+        sent = searched(front, front.where("fresh"), send, sent_type)
+        rows = front.withColumn("fresh", F.lit(False)).unionByName(sent)
+        least = rows.groupBy(*key, "tile").agg(F.min(F.struct("cost", "hops", "prev", "fresh")).alias("m"))
+        front, rounds = written(least.select(*key, "tile", "m.*"), "path-front"), rounds + 1
+        if rounds % rounds_at_once == 0:
+            followed = F.col("fresh") & ~F.coalesce(F.col("cost") >= F.col("bound"), F.lit(False))
+            front = written(bounded(front).withColumn("fresh", followed).drop("bound"), "path-front")
+    return written(searched(bounded(front), front, settle, f"{typed}, ele_id long, cost double, prev long"), "path-costs")
 
 
 def section_paths(nodes: DataFrame, elements: DataFrame, waypoints: DataFrame, reverse: bool = False, rounds_at_once: int = 4) -> DataFrame:
     """(section, seq, ele_id): each section's element path through its waypoints in order, with the least sum of centre distances.
 
     waypoints: section, seq, ele_id; two at least in a section. Each pair of neighbours is a leg, and all legs are
-    searched at once (see cheapest); several rounds make one job. Paths are read back from the goals by joins on the
+    searched at once (see cheapest). Paths are read back from the goals by joins on the
     written predecessors, twice as far each round. An element where two legs meet stands once.
     """
     leg = ["section", "leg"]
@@ -217,17 +274,18 @@ def section_paths(nodes: DataFrame, elements: DataFrame, waypoints: DataFrame, r
         raise ValueError(f"section {short.section} has a single waypoint")
     legs = written(pairs.where("goal IS NOT NULL"), "path-legs")
     links = element_neighbors(elements).where("nei_id <> 0").select(F.col("ele_id").alias("src"), F.col("nei_id").alias("dst"))
-    links = written(distance(links, element_centers(nodes, elements).select("ele_id", "x", "y"), "src", "dst", "ele_id"), "path-links")
+    centres = written(element_centers(nodes, elements).select("ele_id", "x", "y"), "path-centres")
+    links = distance(links, centres, "src", "dst", "ele_id")
     inside = legs.join(elements.select(F.col("ele_id").alias("start")), "start", "left_semi")
     if inside.isEmpty():
         missing = legs.first()
         raise ValueError(f"no path from element {missing.start} to {missing.goal}")
-    best = cheapest(inside, links, leg, rounds_at_once)
+    best = cheapest(inside, links, leg, rounds_at_once, mesh_tiles(centres))
     missing = legs.join(best.select(*leg, F.col("ele_id").alias("goal")), [*leg, "goal"], "left_anti").first()
     if missing:
         raise ValueError(f"no path from element {missing.start} to {missing.goal}")
     back = best.where("prev <> 0").select(*leg, F.col("ele_id").alias("src"), F.col("prev").alias("dst"))
-    path = legs.select(*leg, F.col("goal").alias("ele_id"), F.lit(0).cast("long").alias("back"))
+    path = legs.select(*leg, F.col("goal").cast("long").alias("ele_id"), F.lit(0).cast("long").alias("back"))
     found, reach = 0, 1
     while True:
         further = path.join(back, (path.section == back.section) & (path.leg == back.leg) & (path.ele_id == back.src)).select(path.section, path.leg, F.col("dst").alias("ele_id"), (F.col("back") + reach).alias("back"))
@@ -240,7 +298,7 @@ def section_paths(nodes: DataFrame, elements: DataFrame, waypoints: DataFrame, r
     last = Window.partitionBy("section", "leg")
     steps = path.withColumn("at", F.max("back").over(last) - F.col("back")).where("leg = 1 OR at > 0")
     along = [F.desc("leg"), F.desc("at")] if reverse else [F.asc("leg"), F.asc("at")]
-    return steps.select("section", F.row_number().over(Window.partitionBy("section").orderBy(*along)).alias("seq"), "ele_id")
+    return steps.select("section", F.row_number().over(Window.partitionBy("section").orderBy(*along)).alias("seq"), F.col("ele_id").cast("int").alias("ele_id"))
 
 
 def shortest_path(nodes: DataFrame, elements: DataFrame, start: int, goal: int, reverse: bool = False, rounds_at_once: int = 4) -> DataFrame:

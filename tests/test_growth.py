@@ -6,8 +6,10 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from estuary.operators import mesh as M
 from estuary.operators import observations as V
 from estuary.operators import region as R
+from tests.test_meshes import mesh
 from tests.test_regions_and_stores import RING, inside, ring
 
 LONG, T0 = 300, datetime.datetime(2024, 1, 5)
@@ -74,3 +76,28 @@ def test_observations_in_a_long_region(spark):
     grid = R.Grid(0.0, 0.0, LONG, 4.0, len(edges), 1e-9)
     sides = R.cell_sides(ring_edges, grid).collect()
     assert len(sides) == grid.across * grid.rows <= 3 * len(edges) + 1
+
+
+def test_paths_by_tiles_take_the_ways_of_the_plain_search(spark):
+    """Over small tiles that a way leaves and enters again; a strip's many ways of equal length are told apart as in the plain search."""
+    columns = 24
+    xy = [(1000 * c + (37 * c + 17 * r) % 7 * 20, 1000 * r + (11 * c + 29 * r) % 5 * 20) for r in range(5) for c in range(columns)]
+    nv = [n for r in range(4) for c in range(1, columns) for n in ((r * columns + c, r * columns + c + 1, (r + 1) * columns + c), (r * columns + c + 1, (r + 1) * columns + c + 1, (r + 1) * columns + c))]
+    nodes, elements = mesh(spark, " ".join(f"{x},{y}" for x, y in xy), " ".join("-".join(map(str, n)) for n in nv))
+    links = M.element_neighbors(elements).where("nei_id <> 0").select(F.col("ele_id").alias("src"), F.col("nei_id").alias("dst"))
+    links = spark.createDataFrame(M.distance(links, M.element_centers(nodes, elements).select("ele_id", "x", "y"), "src", "dst", "ele_id").collect())
+    want, found = {1: (0.0, 0)}, links.collect()
+    while True:
+        sent = {}
+        for r in found:
+            if r.src in want:
+                sent[r.dst] = min(sent.get(r.dst, (math.inf, 0)), (want[r.src][0] + r.dist, r.src))
+        lower = {e: s for e, s in sent.items() if e not in want or s[0] < want[e][0]}
+        if not lower:
+            break
+        want |= lower
+    goal = max(want, key=want.get)
+    tiles = elements.select("ele_id", (F.col("ele_id") % 46 / 9).cast("int").alias("tile"))
+    legs = spark.createDataFrame([("a", 1, goal)], "leg string, start int, goal int")
+    rows = M.cheapest(legs, links, ["leg"], 2, tiles).collect()
+    assert len(rows) == len(want) and {r.ele_id: (r.cost, r.prev) for r in rows} == want
