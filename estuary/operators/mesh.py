@@ -173,8 +173,13 @@ def mesh_tiles(centres: DataFrame) -> DataFrame:
     n, x0, x1, y0, y1 = centres.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     parts = max(1, math.ceil(n / (BUCKET * 4096)))
     wide = max(1, min(parts, round(math.sqrt(parts * (x1 - x0) / (y1 - y0))) if n and y1 > y0 else parts))
-    strips = centres.repartitionByRange(wide, "x").select("ele_id", "y", F.spark_partition_id().alias("strip"))
-    tiles = strips.repartitionByRange(wide * math.ceil(parts / wide), "strip", "y").select("ele_id", F.spark_partition_id().alias("tile"))
+    high = math.ceil(parts / wide)
+    tiles = centres.repartitionByRange(wide, "x").select("ele_id", "y", F.spark_partition_id().alias("tile"))
+    if high > 1:
+        strips = written(tiles, "path-strips")
+        cuts = strips.groupBy("tile").agg(F.percentile_approx("y", [k / high for k in range(1, high)]).alias("cuts"))
+        tiles = strips.join(cuts, "tile").withColumn("tile", F.col("tile") * high + F.size(F.filter("cuts", lambda c: c < F.col("y"))))
+    tiles = tiles.select("ele_id", "tile")
     return written(tiles, "path-tiles")
 
 

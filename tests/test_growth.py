@@ -101,3 +101,15 @@ def test_paths_by_tiles_take_the_ways_of_the_plain_search(spark):
     legs = spark.createDataFrame([("a", 1, goal)], "leg string, start int, goal int")
     rows = M.cheapest(legs, links, ["leg"], 2, tiles).collect()
     assert len(rows) == len(want) and {r.ele_id: (r.cost, r.prev) for r in rows} == want
+
+
+def test_tiles_of_a_strip_lie_side_by_side(spark, monkeypatch):
+    """No two tiles of a strip share x, so ways go from each to the next; those of a square are cut both ways, and of like size."""
+    monkeypatch.setattr(M, "BUCKET", 0.05)
+    at = lambda columns, rows: spark.createDataFrame([(r * columns + c, float(c), float(r)) for r in range(rows) for c in range(columns)], "ele_id int, x double, y double")
+    long = at(400, 4)
+    span = long.join(M.mesh_tiles(long), "ele_id").groupBy("tile").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("a").collect()
+    assert len(span) == 8 and all(p.b < q.a for p, q in zip(span, span[1:], strict=False))
+    square = at(40, 40)
+    sizes = square.join(M.mesh_tiles(square), "ele_id").groupBy("tile").agg(F.count("*").alias("n"), F.countDistinct("x").alias("w"), F.countDistinct("y").alias("h")).collect()
+    assert sum(r.n for r in sizes) == 1600 and len(sizes) == 9 and all(r.n == r.w * r.h and r.n <= 2 * 205 for r in sizes)
