@@ -22,6 +22,8 @@ BANDS, ROWS = 14, 6
 DRAWN = 1 << 20
 #: Keys of fewer rows are no hot keys, however few rows there are in all.
 HOT = 1000
+#: Bounds of shares of a size are taken so much wider, which admits a few comparisons more and misses none.
+ROUNDING = 1e-6
 
 _RNG = np.random.default_rng(8)
 _TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,17 +73,39 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return near.where(common >= least * (F.size("a") + F.size("b") - common)).select("hub", "key")
 
 
+def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
+    """(key, size, degree, at, shingle) of texts (key, size, degree, shingles), each text's rarest shingles first.
+
+    A text's shingles are in the order of the number of these texts that hold them, `at` counts from 0. Two texts as
+    similar as asked share one of their first 1 - least of the shingles, so a text's later ones are left out, and those
+    that no other text holds, which are all before the rest.
+    """
+    each = texts.select("key", "size", "degree", F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = join_dealt(each, counts, ["shingle"], "key", hot_keys(each, ["shingle"], least=HOT))
+    own = shared.groupBy("key", "size", "degree").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    alone = F.col("size") - F.size("own")
+    first = F.floor((1 - least) * F.col("size") + ROUNDING) + 1 - alone
+    first = own.select("key", "size", "degree", alone.alias("alone"), F.slice("own", 1, F.greatest(first, F.lit(0)).cast("int")).alias("own"))
+    placed = first.select("key", "size", "degree", "alone", F.posexplode("own").alias("pos", "one"))
+    return placed.select("key", "size", "degree", (F.col("alone") + F.col("pos")).alias("at"), "one.shingle")
+
+
 def similar_links(firsts: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between fingerprints whose texts have a similarity of `least`, enough for their components.
 
     firsts: fp, first (an id), size and bands, a row for a fingerprint; texts: first, text. Texts meet where a band's
     keys are equal. Of those that share one, each is compared with a hub, the text that meets most others, and linked
-    to it if their sets of shingles are as similar as asked. Texts that are not stay in the group, which takes about
-    twice as many hubs as the round before, until no group has two. So groups of near copies cost one comparison a text
-    whatever their size; only texts that meet and are not similar are compared with many hubs. No text is linked without
-    the exact check. Two texts of a similarity of 0.8 share no band once in 70; and a text that links to a hub is not
-    compared with the others of that group, which matters where they are near to it and not to the hub. Texts without
-    words, and those whose ids are all null, are not compared.
+    to it if their sets of shingles are as similar as asked. So groups of near copies cost one comparison a text
+    whatever their size. Texts that are not as similar to their hub, and have others left in their group, meet again by
+    the rarest shingles of each (see rare_shingles): of two that are as similar, one has a common shingle among the
+    first (1 - least) / (1 + least) of its own, and only such texts are hubs then; what stands before a common shingle
+    in both must leave enough to be common. So texts that have a passage or an original in common and are not
+    similar do not meet, as what is their own is rarer. These groups take about twice as many hubs each round, until
+    none has a text that may be one. No text is linked without the exact check. Two texts of a similarity of 0.8 share
+    no band once in 70; and a text that links to a hub is not compared with the others of that group, which matters
+    where they are near to it and not to the hub. Texts without words, and those whose ids are all null, are not
+    compared.
     """
     members = firsts.where("size > 0 and first is not null").select(F.col("fp").alias("key"), "first", F.posexplode("bands").alias("band", "part"))
     on = ["band", "part"]
@@ -89,20 +113,23 @@ def similar_links(firsts: DataFrame, texts: DataFrame, least: float = SIMILARITY
     met = written(join_dealt(members, sizes, on, "key"), "similar-members")
     asked = written(met.groupBy("key", "first").agg(F.sum("n").alias("degree")), "similar-asked")
     sets = written(shingle_sets(texts.join(asked, "first").select("key", "text")).withColumn("size", F.size("shingles")), "similar-sets")
-    known = asked.join(sets.select("key", "size"), "key").select("key", "size", "degree")
+    known = asked.join(sets.select("key", "size"), "key").select("key", "size", "degree", F.lit(0).cast("long").alias("at"))
     left = written(met.select("key", *on).join(known, "key"), "similar-left")
     hot = written(hot_keys(left, on, least=HOT), "similar-hot")  # groups only shrink
-    found, done, many = [], None, 1
+    found, done, many, by_bands = [], None, 1, True
+    early = (1 + least) * F.col("at") <= (1 - least) * F.col("size") + ROUNDING
     while True:
-        groups = left.groupBy(*on).agg(F.count("*").alias("n"), F.max(F.struct("degree", "key")).alias("top")).where("n > 1")
-        chosen = (F.col("key") == F.col("top.key")) | (F.pmod(F.xxhash64("key"), F.lit(DRAWN)) * F.col("n") < F.lit(DRAWN * (many - 1)))
-        marked = written(join_dealt(left, groups, on, "key", hot).select("key", "size", "degree", *on, chosen.alias("chosen")), "similar-marked")
+        most = F.max(F.when(early, F.struct("degree", "key"))).alias("top")
+        groups = left.groupBy(*on).agg(F.count("*").alias("n"), F.count_if(early).alias("hubs"), most).where("n > 1 and hubs > 0")
+        drawn = F.pmod(F.xxhash64("key"), F.lit(DRAWN)) * F.col("hubs") < F.lit(DRAWN * (many - 1))
+        chosen = early & ((F.col("key") == F.col("top.key")) | drawn)
+        marked = written(join_dealt(left, groups, on, "key", hot).select("key", "size", "degree", "at", *on, chosen.alias("chosen")), "similar-marked")
         if marked.isEmpty():
             break
-        hubs = marked.where("chosen").select(*on, F.col("key").alias("hub"), F.col("size").alias("hub_size"))
-        tried = written(join_dealt(marked.select("key", "size", *on), hubs, on, "key", hot).where("key <> hub"), "similar-tried")
-        fits = F.least("size", "hub_size") >= least * F.greatest("size", "hub_size")
-        pairs = tried.where(fits).select("hub", "key").distinct()
+        hubs = marked.where("chosen").select(*on, F.col("key").alias("hub"), F.col("size").alias("hub_size"), F.col("at").alias("hub_at"))
+        fits = (1 + least) * F.least(F.expr("size - at"), F.expr("hub_size - hub_at")) >= least * F.expr("size + hub_size") - ROUNDING
+        tried = written(join_dealt(marked.select("key", "size", "at", *on), hubs, on, "key", hot).where(F.expr("key <> hub") & fits), "similar-tried")
+        pairs = tried.select("hub", "key").distinct()
         if done is not None:
             pairs = pairs.join(done, ["hub", "key"], "left_anti")
         pairs = written(pairs, "similar-pairs")
@@ -110,8 +137,14 @@ def similar_links(firsts: DataFrame, texts: DataFrame, least: float = SIMILARITY
         done = pairs if done is None else done.union(pairs)
         linked = functools.reduce(DataFrame.union, found).distinct()
         reached = tried.join(linked, ["hub", "key"], "left_semi").select("key", *on).distinct()
-        rest = marked.where("not chosen").select("key", "size", "degree", *on)
+        rest = marked.where("not chosen").select("key", "size", "degree", "at", *on)
         left, many = written(rest.join(reached, ["key", *on], "left_anti"), "similar-left"), 2 * many
+        if by_bands:
+            others = left.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
+            again = join_dealt(left, others, on, "key", hot).select("key", "degree").distinct()
+            on, many, by_bands = ["shingle"], 1, False
+            left = written(rare_shingles(sets.join(again, "key"), least), "similar-left")
+            hot = written(hot_keys(left, on, least=HOT), "similar-hot")
     if not found:
         return firsts.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     return functools.reduce(DataFrame.union, found).select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()

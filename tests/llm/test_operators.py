@@ -411,6 +411,36 @@ def test_recall_over_the_given_documents(spark):
     assert len(gone) > 40 and np.mean([got[k] != k for k in gone]) >= 0.95
 
 
+def test_texts_that_meet_and_are_not_similar_are_seldom_compared(spark, monkeypatch):
+    """Copies with five words changed meet by bands, but have a similarity of 0.75 at most: a few comparisons each, and their twins are found."""
+    compared, write = [], similar.written
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        compared.append(out.count() if name == "similar-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(similar, "written", counted)
+    for size in (150, 300):
+        rng = np.random.default_rng(size)
+        base, texts, twins = [f"w{x}" for x in rng.integers(0, 5000, 150)], [], []
+        for k in range(size):
+            words = list(base)
+            for i in range(5):
+                words[30 * i + rng.integers(5, 25)] = f"own{k}x{i}"
+            texts.append(" ".join(words))
+            if k % 10 == 0:
+                twins.append((k, f"{texts[-1]} end"))
+        compared.clear()
+        where, links = found_links(spark, texts + [t for _, t in twins])
+        held, roots = set(where.values()), joined(len(texts) + len(twins), links)
+        close = [(k, size + i) for i, (k, _) in enumerate(twins) if {k, size + i} <= held]
+        assert {tuple(sorted(x)) for x in links} <= {tuple(sorted(x)) for x in similar_pairs(texts + [t for _, t in twins])}
+        assert np.mean([roots[a] == roots[b] for a, b in close] or [1]) >= 0.95
+        print("compared", size, sum(compared), len(close))
+        assert sum(compared) <= 10 * size
+
+
 def test_similar_links_of_odd_texts(spark):
     where, links = found_links(spark, ["", "a", "A", "a b", "x " * 50_000, "é ß", "a b c d e f"])
     assert links == [] and found_links(spark, ["one"])[1] == []
