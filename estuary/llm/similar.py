@@ -73,6 +73,16 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return near.where(common >= least * (F.size("a") + F.size("b") - common)).select("hub", "key")
 
 
+def shared(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key others have as well, with n, the number of rows of the key.
+
+    Keys are not dealt to parts here, for which all rows, most of them alone with their key, would go through one join
+    more. The numbers lie in a table of their own, as Spark splits the skewed partitions of a join only where both sides
+    are shuffled for it.
+    """
+    return rows.join(written(rows.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "similar-shared"), on)
+
+
 def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
     """(key, size, degree, at, shingle) of texts (key, size, degree, shingles), each text's rarest shingles first.
 
@@ -81,9 +91,7 @@ def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
     that no other text holds, which are all before the rest.
     """
     each = texts.select("key", "size", "degree", F.explode("shingles").alias("shingle"))
-    counts = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    shared = join_dealt(each, counts, ["shingle"], "key", hot_keys(each, ["shingle"], least=HOT))
-    own = shared.groupBy("key", "size", "degree").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    own = shared(each, ["shingle"]).groupBy("key", "size", "degree").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     alone = F.col("size") - F.size("own")
     first = F.floor((1 - least) * F.col("size") + ROUNDING) + 1 - alone
     first = own.select("key", "size", "degree", alone.alias("alone"), F.slice("own", 1, F.greatest(first, F.lit(0)).cast("int")).alias("own"))
@@ -109,8 +117,7 @@ def similar_links(firsts: DataFrame, texts: DataFrame, least: float = SIMILARITY
     """
     members = firsts.where("size > 0 and first is not null").select(F.col("fp").alias("key"), "first", F.posexplode("bands").alias("band", "part"))
     on = ["band", "part"]
-    sizes = members.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
-    met = written(join_dealt(members, sizes, on, "key"), "similar-members")
+    met = written(shared(members, on), "similar-members")
     asked = written(met.groupBy("key", "first").agg(F.sum("n").alias("degree")), "similar-asked")
     sets = written(shingle_sets(texts.join(asked, "first").select("key", "text")).withColumn("size", F.size("shingles")), "similar-sets")
     known = asked.join(sets.select("key", "size"), "key").select("key", "size", "degree", F.lit(0).cast("long").alias("at"))

@@ -441,6 +441,42 @@ def test_texts_that_meet_and_are_not_similar_are_seldom_compared(spark, monkeypa
         assert sum(compared) <= 10 * size
 
 
+def rows_of_joins(spark, run):
+    """The rows that all joins of the jobs of run() make, by Spark's own counts."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found, total = store.executionsList(), 0
+    for k in range(before, found.size()):
+        one = found.apply(k).executionId()
+        nodes, values = store.planGraph(one).allNodes(), store.executionMetrics(one)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_rows_that_share_no_key_pass_through_no_join(spark):
+    """Texts that meet none cost no rows of joins beside a large group of near copies; nor do shingles of one text beside a frequent one."""
+    made = []
+    for alone in (200, 600):
+        rng = np.random.default_rng(9)
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        copies = [" ".join([*base, f"end{k}"]) for k in range(40)]
+        texts = copies + [" ".join(f"v{x}" for x in rng.integers(0, 10**9, 30)) for _ in range(alone)]
+        links = []
+        made.append(rows_of_joins(spark, lambda texts=texts, links=links: links.extend(found_links(spark, texts)[1])))
+        assert len(links) >= 30 and all(max(x) < 40 for x in links)
+    print("rows of joins", made)
+    assert made[1] - made[0] <= 400
+    sets = spark.range(1100).selectExpr("id as key", "21L as size", "1L as degree", "concat(array(-1L), transform(sequence(0, 19), x -> id * 20 + x)) as shingles")
+    many = rows_of_joins(spark, lambda: similar.rare_shingles(sets, 0.8).collect())
+    print("rows of joins of shingles", many)
+    assert 1100 <= many <= 2 * 1100
+
+
 def test_similar_links_of_odd_texts(spark):
     where, links = found_links(spark, ["", "a", "A", "a b", "x " * 50_000, "é ß", "a b c d e f"])
     assert links == [] and found_links(spark, ["one"])[1] == []
