@@ -1,9 +1,9 @@
-"""Collocations: frequent phrases of two to four words, counted by tries that go to all tasks, and their best splits.
+"""Collocations: frequent phrases of two to four words, counted exactly in four scans, and their best splits.
 
 Each search level hashes the phrases whose two halves of one word less may be frequent. The hashes' counts are never
 under those of the phrases, and a bit filter of fixed size carries the frequent ones to the next level, so no frequent
-phrase is lost. What is left is spelled out, each by one text that holds it, and laid into double-array tries of
-bounded size; one scan a trie counts all phrases in it exactly.
+phrase is lost. A last scan spells the words and the phrases that pass the filters and adds them up by their letters,
+so counts are exact, and the number of scans does not depend on that of the phrases.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ ABSORBED = 80
 UNKNOWN = "und"
 #: Bits of a level's filter: 8 MB.
 FILTER_BITS = 26
-#: Phrases of a trie, which bounds what the driver builds and every task holds: about 80 MB.
+#: Phrases that a task sends on at a time, or that a trie holds.
 PHRASES_AT_ONCE = 250_000
+#: Phrases are added up in so many buckets, by the first bits of their hash.
+BUCKET_BITS = 12
 #: Bytes of text that a task takes at a time.
 BLOCK = 6 << 20
 #: Parts of a language that are ranked by themselves before their first rows meet.
@@ -91,16 +93,10 @@ class Words:
             self._hashes.append(mixed(self._hashes[-1][:n] * _MIX[2] + self._own[len(self._hashes) :]))
         return self._hashes[k - 1]
 
-    def owners(self) -> np.ndarray:
-        """31 bits that tell each position's text."""
-        import xxhash
-
-        return np.array([xxhash.xxh32_intdigest(x) >> 1 for x in self.texts], np.int64)[self.text]
-
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
         """The k words from each of the positions on, with spaces between them."""
         parts = [self.distinct.take(pa.array(self.word[at + i])) for i in range(k)]
-        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())).cast(pa.string())
+        return pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
 
 
 def read_words(batches):
@@ -129,24 +125,81 @@ def hopeful(words: Words, k: int, bits: np.ndarray | None) -> tuple[np.ndarray,
     return at, words.hashes(k)[at]
 
 
-def frequent_hashes(texts: DataFrame, k: int, bits, least: int) -> DataFrame:
-    """(h, n, owner): hashes of phrases of k words with the least count or more, and the least owner of a text with one.
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary value for the items from each cut to the next."""
+    ends = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, kind) -> np.ndarray:
+    """The items of all binary values one after another."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(kind)
+
+
+def buckets_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_buckets(batches):
+    """Lists of batches that hold whole buckets, of batches in order of their buckets."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            bucket = batch.column("bucket").to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            if held and (cut or held[-1].column("bucket")[0].as_py() != bucket[-1]):
+                yield [*held, batch.slice(0, cut)] if cut else held
+                held = []
+            elif cut:
+                yield [batch.slice(0, cut)]
+            held.append(batch.slice(cut))
+    if held:
+        yield held
+
 
-    Each block sends a row for a hash.
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket come together, in any number of partitions, and a task holds some buckets at a time."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def frequent_hashes(texts: DataFrame, k: int, bits, least: int, at_once: int) -> DataFrame:
+    """(h): hashes of phrases of k words with the least count or more.
+
+    Each block sends its different hashes and their counts, packed by bucket.
     """
 
     def count(batches):
         for words in read_words(batches):
-            at, h = hopeful(words, k, bits and bits.value)
+            h = np.sort(hopeful(words, k, bits and bits.value)[1])
+            first = runs(h)
+            h, n = h[first], np.diff(np.append(first, len(h))).astype(np.uint32)
+            for at in range(0, len(h), at_once):
+                mine = h[at : at + at_once]
+                bucket = buckets_of(mine)
+                cuts = np.append(runs(bucket), len(mine))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), packed(mine, cuts), packed(n[at : at + at_once], cuts)], names=["bucket", "hashes", "counts"])
+
+    def add(batches):
+        for held in whole_buckets(batches):
+            h = np.concatenate([unpacked(x.column("hashes"), np.uint64) for x in held])
+            n = np.concatenate([unpacked(x.column("counts"), np.uint32) for x in held]).astype(np.int64)
             order = np.argsort(h)
-            h, owner = h[order], words.owners()[at[order]]
-            first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-            n = np.diff(np.append(first, len(h)))
-            least_owner = np.minimum.reduceat(owner, first) if len(first) else owner
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n), pa.array(least_owner.astype(np.int32))], names=["h", "n", "owner"])
+            h, n = h[order], n[order]
+            first = runs(h)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first][np.add.reduceat(n, first) >= least].view(np.int64))], names=["h"])
 
-    rows = texts.mapInArrow(count, "h long, n long, owner int")
-    return rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("owner").alias("owner")).where(F.col("n") >= least)
+    return dealt(texts.mapInArrow(count, "bucket int, hashes binary, counts binary")).mapInArrow(add, "h long")
 
 
 def filter_of(keys: DataFrame, place: Column):
@@ -159,27 +212,65 @@ def filter_of(keys: DataFrame, place: Column):
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def spelled(texts: DataFrame, filters: dict, owners) -> DataFrame:
-    """(lang, phrase, h, words): the phrases that pass their level's filter; with phrase null, a language's words.
+def spelled(words: Words, k: int, filters: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, counts) of the different phrases of k words, a position each, without those that a filter stops.
 
-    A phrase is spelled by its owner alone, the text that frequent_hashes() chose: a filter of both tells which that is.
+    Phrases are told apart by their words: of two with one hash, either may come more than once.
     """
-    names = ["lang", "phrase", "h", "words"]
+    at, h = hopeful(words, k, filters[k - 1].value if k - 1 in filters else None)
+    if k in filters:
+        ok = passes(filters[k].value, h)
+        at, h = at[ok], h[ok]
+    order = np.argsort(h)
+    at, h = at[order], h[order]
+    first = runs(h, words.lang[at], *(words.word[at + i] for i in range(k)))
+    return at[first], h[first], np.diff(np.append(first, len(h)))
 
-    def spell(batches):
-        for words in read_words(batches):
-            langs, owner = pa.array(words.langs, pa.string()), words.owners().astype(np.uint64)
-            for k, bits in filters.items():
-                at, h = hopeful(words, k, filters[k - 1].value if k - 1 in filters else None)
-                ok = passes(bits.value, h) & passes(owners.value, (h >> np.uint64(32)) ^ owner[at])
-                h, first = np.unique(h[ok], return_index=True)
-                at = at[ok][first]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.lang[at])), words.phrases(at, k), pa.array(h.view(np.int64)), pa.array(np.zeros(len(h), np.int64))], names=names)
-            each = np.bincount(words.lang, minlength=len(words.langs))
-            yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.string()), pa.array(np.zeros(len(langs), np.int64)), pa.array(each)], names=names)
 
-    rows = texts.mapInArrow(spell, "lang string, phrase string, h long, words long")
-    return rows.groupBy("lang", "phrase", "h").agg(F.sum("words").alias("words"))
+def frequent_phrases(texts: DataFrame, filters: dict, least: int, at_once: int) -> DataFrame:
+    """(lang, phrase, f): phrases with the least count or more, counted exactly; with phrase null, parts of a language's words.
+
+    Each block sends its words and the phrases that pass their level's filter, with their counts, packed by language and
+    bucket. A bucket adds up the counts of equal phrases.
+    """
+
+    def count(batches):
+        for words in read_words(batches):
+            langs = pa.array(words.langs, pa.string())
+            for k in range(1, LONGEST + 1):
+                every = spelled(words, k, filters)
+                for start in range(0, len(every[0]), at_once):
+                    at, h, n = (x[start : start + at_once] for x in every)
+                    lang, bucket = words.lang[at], buckets_of(h)
+                    order = np.argsort(lang, kind="stable")  # h is in order
+                    at, n, lang, bucket = at[order], n[order], lang[order], bucket[order]
+                    phrases = words.phrases(at, k)
+                    ends = np.frombuffer(phrases.buffers()[1], np.int32)[: len(at) + 1]
+                    cuts = np.append(runs(lang, bucket), len(at))
+                    letters = packed(np.frombuffer(phrases.buffers()[2], np.uint8)[: ends[-1]], ends[cuts])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(bucket[cuts[:-1]]), langs.take(pa.array(lang[cuts[:-1]])), pa.array(np.full(len(cuts) - 1, k, np.int32)),
+                        letters, packed(np.diff(ends), cuts), packed(n.astype(np.uint32), cuts),
+                    ], names=["bucket", "lang", "words", "letters", "sizes", "counts"])
+
+    def add(batches):
+        for held in whole_buckets(batches):
+            sizes = [unpacked(x.column("sizes"), np.int32) for x in held]
+            ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
+            letters = np.concatenate([unpacked(x.column("letters"), np.uint8) for x in held])
+            phrase = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+            n = np.concatenate([unpacked(x.column("counts"), np.uint32) for x in held]).astype(np.int64)
+            of = np.repeat(np.arange(sum(len(x) for x in held)), np.concatenate([pc.binary_length(x.column("sizes")).to_numpy() // 4 for x in held]))
+            names = pa.concat_arrays([x.column("lang") for x in held]).dictionary_encode()
+            lang, single = names.indices.to_numpy()[of], (np.concatenate([x.column("words").to_numpy() for x in held]) == 1)[of]
+            sums = pa.table({"lang": lang, "phrase": phrase, "f": n}).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+            lang_of, phrase, f = (x.combine_chunks() for x in sums.filter(pc.greater_equal(sums["f_sum"], least)).select(["lang", "phrase", "f_sum"]).columns)
+            each = np.bincount(lang[single], n[single], len(names.dictionary)).astype(np.int64)
+            for columns in ([names.dictionary.take(lang_of), phrase.cast(pa.binary()).cast(pa.string()), f], [names.dictionary, pa.nulls(len(each), pa.string()), pa.array(each)]):
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
+
+    rows = texts.mapInArrow(count, "bucket int, lang string, words int, letters binary, sizes binary, counts binary")
+    return dealt(rows).mapInArrow(add, "lang string, phrase string, f long")
 
 
 class Trie:
@@ -282,7 +373,10 @@ class Trie:
 
 
 def counted(texts: DataFrame, phrases: DataFrame, at_once: int) -> DataFrame:
-    """(lang, phrase, f) of all phrases (lang, phrase): a trie and a scan of the texts for each part of bounded size."""
+    """(lang, phrase, f) of phrases that are given (lang, phrase): a trie and a scan of the texts for each part of bounded size.
+
+    It suits a list of some 100,000 phrases; mine() counts by buckets, as its phrases grow with the texts.
+    """
     spark = texts.sparkSession
     total = phrases.count()
     parts = max(1, -(-total // at_once))
@@ -350,26 +444,19 @@ def mine(
     read whole; one that is longer than BLOCK is a block of its own. Other columns are ignored, whatever their names.
     Empty table: no rows. Equal scores rank by a, then by the phrase's bytes.
 
-    The driver and the tasks hold filters of 8 MB and a trie of `at_once` phrases at most; more phrases take more
-    tries, each with a scan of its own.
+    The driver and the tasks hold filters of 8 MB. A task sends on `at_once` phrases at a time and adds up whole
+    buckets, a 4,096th of all phrases each.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    filters, levels = {}, []
+    filters = {}
     for k in range(2, LONGEST + 1):
-        levels.append(written(frequent_hashes(texts, k, filters.get(k - 1), least), "phrase-hashes"))
-        filters[k] = filter_of(levels[-1], F.col("h"))
-    keys = functools.reduce(DataFrame.union, levels)
-    owners = filter_of(keys, F.shiftrightunsigned("h", 32).bitwiseXOR(F.col("owner").cast("long")))
-    names = written(spelled(texts, filters, owners), "phrases-spelled")
-    keys = keys.select("h")
-    long = written(names.where("phrase is not null").join(keys, "h", "left_semi").select("lang", "phrase"), "phrase-candidates")
-    single = long.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    found = counted(texts, long.union(single), at_once).where(F.col("f") >= least)
-    found = written(found.withColumn("words", F.size(F.split("phrase", " "))), "phrases-found")
+        filters[k] = filter_of(frequent_hashes(texts, k, filters.get(k - 1), least, at_once), F.col("h"))
+    names = written(frequent_phrases(texts, filters, least, at_once), "phrases-found")
+    found = names.where("phrase is not null").withColumn("words", F.size(F.split("phrase", " ")))
     kept = best_cuts(found).join(absorbed(found), ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     apart = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_APART))).orderBy(*order)
     first = kept.withColumn("rank", F.row_number().over(apart)).where(F.col("rank") <= top)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-    sizes = names.where("phrase is null").groupBy("lang").agg(F.sum("words").alias("n"))
+    sizes = names.where("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.where(F.col("rank") <= top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -229,6 +230,49 @@ def test_collocations_of_nothing(spark, speech):
     assert collocations.mine(docs.limit(0)).count() == 0 and collocations.mine(docs, least=10**9).count() == 0
 
 
+def test_texts_are_read_as_often_at_any_number_of_candidates(spark, speech):
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(speech, "lang string, text string").mapInArrow(through, "lang string, text string")
+    rows = collocations.mine(docs, least=3, at_once=7).collect()
+    assert sorted(map(tuple, rows)) == sorted(plain_phrases(speech, 3)) and len(rows) > 70
+    assert read.value <= 4 * len(speech)
+
+
+def test_phrases_of_one_hash_are_told_apart():
+    words = collocations.Words([b"a b a b c a b", b"b c", b"a b"], ["l", "m", "l"])
+    for k in (1, 2, 3):
+        words.hashes(k)
+    words._hashes = [x * np.uint64(0) for x in words._hashes]
+    got = collections.Counter()
+    for k in (1, 2, 3):
+        at, h, n = collocations.spelled(words, k, {})
+        for i, phrase, f in zip(at, words.phrases(at, k).to_pylist(), n, strict=True):
+            got[words.langs[words.lang[i]], phrase.decode()] += int(f)
+    want = collections.Counter()
+    for lang, text in (("l", "a b a b c a b"), ("m", "b c"), ("l", "a b")):
+        w = text.split()
+        want.update((lang, " ".join(w[i : i + k])) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert got == want
+
+
+@given(st.lists(st.lists(st.integers(0, 3), max_size=5), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_buckets_stay_whole(batches):
+    buckets, last = [], 0
+    for batch in batches:
+        buckets.append([last := last + step // 2 for step in batch])
+    got = list(collocations.whole_buckets(pa.RecordBatch.from_arrays([pa.array(b, pa.int32())], names=["bucket"]) for b in buckets))
+    parts = [[b for x in held for b in x.column("bucket").to_pylist()] for held in got]
+    assert [b for part in parts for b in part] == [b for part in buckets for b in part]
+    assert all(parts) and all(x[-1] < y[0] for x, y in zip(parts, parts[1:], strict=False))
+
+
 @given(st.lists(st.lists(st.integers(0, 300), min_size=1, max_size=4), max_size=80), st.lists(st.integers(0, 330), max_size=120))
 @settings(max_examples=60, deadline=None)
 def test_tries_count_what_they_hold(phrases, words):
