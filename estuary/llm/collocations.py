@@ -13,7 +13,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,8 +31,9 @@ UNKNOWN = "und"
 FILTER_BITS = 26
 #: Phrases that a task sends on at a time, or that a trie holds.
 PHRASES_AT_ONCE = 250_000
-#: Phrases are added up in so many buckets, by the first bits of their hash.
+#: Phrases are added up in so many buckets, by the first bits of their hash; a search level sends 32 bits more of it.
 BUCKET_BITS = 12
+REST_BITS = 64 - BUCKET_BITS - 32
 #: Bytes of text that a task takes at a time.
 BLOCK = 6 << 20
 #: Parts of a language that are ranked by themselves before their first rows meet.
@@ -65,13 +66,11 @@ class Words:
         words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
         self.distinct = words.dictionary
         self.word = words.indices.to_numpy()
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), start).astype(np.int32)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[start]
         self.langs = sorted(set(langs))
         code = {lang: i for i, lang in enumerate(self.langs)}
-        begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])[:-1]))
-        self.text = (np.searchsorted(begins, start, side="right") - 1).astype(np.int32)
-        self.lang = np.array([code[x] for x in langs], np.int32)[self.text]
-        self.texts = texts
+        held = np.diff(np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in texts])))  # words of each text
+        self.lang = np.repeat(np.array([code[x] for x in langs], np.int32), held)
         self._hashes: list[np.ndarray] = []
 
     def together(self, k: int) -> np.ndarray:
@@ -84,8 +83,8 @@ class Words:
         import xxhash
 
         if not self._hashes:
-            own = np.array([xxhash.xxh64_intdigest(w) for w in self.distinct.to_pylist()], np.uint64)
-            self._own = own[self.word]
+            own = b"".join(map(xxhash.xxh64_digest, self.distinct.to_numpy(zero_copy_only=False)))
+            self._own = np.frombuffer(own, ">u8").astype(np.uint64)[self.word]
             roots = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.langs], np.uint64)
             self._hashes.append(mixed(roots[self.lang] * _MIX[2] + self._own))
         while len(self._hashes) < k:
@@ -109,9 +108,9 @@ def read_words(batches):
 _MASK = (1 << FILTER_BITS) - 1
 
 
-def passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the bits at these places (uint64, FILTER_BITS of each count) are set."""
-    at = at & np.uint64(_MASK)
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bits at the places of these hashes are set."""
+    at = h >> np.uint64(REST_BITS) & np.uint64(_MASK)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -137,6 +136,11 @@ def unpacked(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(kind)
 
 
+def lengths(column: pa.Array) -> np.ndarray:
+    """The numbers of items in the binary values, of four bytes each."""
+    return pc.binary_length(column).to_numpy() // 4
+
+
 def buckets_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
@@ -174,7 +178,7 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def frequent_hashes(texts: DataFrame, k: int, bits, least: int, at_once: int) -> DataFrame:
-    """(h): hashes of phrases of k words with the least count or more.
+    """(h): hashes, without their last bits, of phrases of k words with the least count or more.
 
     Each block sends its different hashes and their counts, packed by bucket.
     """
@@ -188,11 +192,12 @@ def frequent_hashes(texts: DataFrame, k: int, bits, least: int, at_once: int) ->
                 mine = h[at : at + at_once]
                 bucket = buckets_of(mine)
                 cuts = np.append(runs(bucket), len(mine))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), packed(mine, cuts), packed(n[at : at + at_once], cuts)], names=["bucket", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), packed((mine >> np.uint64(REST_BITS)).astype(np.uint32), cuts), packed(n[at : at + at_once], cuts)], names=["bucket", "hashes", "counts"])
 
     def add(batches):
         for held in whole_buckets(batches):
-            h = np.concatenate([unpacked(x.column("hashes"), np.uint64) for x in held])
+            bucket = np.concatenate([np.repeat(x.column("bucket").to_numpy(), lengths(x.column("hashes"))) for x in held]).astype(np.uint64)
+            h = bucket << np.uint64(64 - BUCKET_BITS) | np.concatenate([unpacked(x.column("hashes"), np.uint32) for x in held]).astype(np.uint64) << np.uint64(REST_BITS)
             n = np.concatenate([unpacked(x.column("counts"), np.uint32) for x in held]).astype(np.int64)
             order = np.argsort(h)
             h, n = h[order], n[order]
@@ -202,9 +207,9 @@ def frequent_hashes(texts: DataFrame, k: int, bits, least: int, at_once: int) ->
     return dealt(texts.mapInArrow(count, "bucket int, hashes binary, counts binary")).mapInArrow(add, "h long")
 
 
-def filter_of(keys: DataFrame, place: Column):
-    """A broadcast bit filter of the keys' places. It has 8 MB at any number of keys, and so has what the driver collects."""
-    at = place.bitwiseAND(F.lit(_MASK))
+def filter_of(keys: DataFrame):
+    """A broadcast bit filter of the hashes (h). It has 8 MB at any number of them, and so has what the driver collects."""
+    at = F.shiftrightunsigned("h", REST_BITS).bitwiseAND(F.lit(_MASK))
     bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
     found = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("line")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
@@ -217,6 +222,13 @@ def spelled(words: Words, k: int, filters: dict) -> tuple[np.ndarray, np.ndarray
 
     Phrases are told apart by their words: of two with one hash, either may come more than once.
     """
+    if k == 1:
+        of = words.lang.astype(np.int64) * len(words.distinct) + words.word
+        n, at = np.bincount(of), np.zeros(of.max(initial=-1) + 1, np.int64)
+        at[of] = np.arange(len(of))
+        at, n = at[n > 0], n[n > 0]
+        order = np.argsort(words.hashes(1)[at])
+        return at[order], words.hashes(1)[at[order]], n[order]
     at, h = hopeful(words, k, filters[k - 1].value if k - 1 in filters else None)
     if k in filters:
         ok = passes(filters[k].value, h)
@@ -260,7 +272,7 @@ def frequent_phrases(texts: DataFrame, filters: dict, least: int, at_once: int)
             letters = np.concatenate([unpacked(x.column("letters"), np.uint8) for x in held])
             phrase = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)])
             n = np.concatenate([unpacked(x.column("counts"), np.uint32) for x in held]).astype(np.int64)
-            of = np.repeat(np.arange(sum(len(x) for x in held)), np.concatenate([pc.binary_length(x.column("sizes")).to_numpy() // 4 for x in held]))
+            of = np.repeat(np.arange(sum(len(x) for x in held)), np.concatenate([lengths(x.column("sizes")) for x in held]))
             names = pa.concat_arrays([x.column("lang") for x in held]).dictionary_encode()
             lang, single = names.indices.to_numpy()[of], (np.concatenate([x.column("words").to_numpy() for x in held]) == 1)[of]
             sums = pa.table({"lang": lang, "phrase": phrase, "f": n}).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
@@ -408,16 +420,16 @@ def parts_of(phrase: str, first: str, size: str) -> str:
 
 def best_cuts(found: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, score) of phrases of two words or more: the cut with the lowest score, then the first."""
-    ks = F.expr("explode(sequence(1, words - 1))")
-    rows = found.where("words > 1").select("lang", "phrase", F.col("f").alias("a"), "words", ks.alias("k"))
-    rows = rows.withColumns({"head": F.expr(parts_of("phrase", "0", "k")), "tail": F.expr(parts_of("phrase", "k", "words - k"))})
-    for name, side in (("l", "head"), ("r", "tail")):
-        # a word may begin or end a large share of all phrases, so its rows are dealt
-        counts = found.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
-        rows = join_dealt(rows, counts, ["lang", side], "phrase")
-    score = F.expr(f"(CAST({SCALE} AS DECIMAL(38,0)) * CAST(a AS DECIMAL(19,0))) DIV (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0)))")
-    low = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
-    return rows.groupBy("lang", "phrase", "a").agg(low).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    sides = F.expr(f"""flatten(transform(sequence(1, words - 1), k -> array(
+        struct(k, true AS head, {parts_of("phrase", "0", "k")} AS part), struct(k, false AS head, {parts_of("phrase", "k", "words - k")} AS part))))""")
+    rows = found.where("words > 1").select("lang", "phrase", F.col("f").alias("a"), F.inline(sides))
+    # a word may begin or end a large share of all phrases, so its rows are dealt
+    rows = join_dealt(rows, found.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"], "phrase")
+    counts = [F.max(F.when((F.col("k") == k) & (F.col("head") == head), F.col("f"))).alias(f"{name}{k}") for k in range(1, LONGEST) for name, head in (("l", True), ("r", False))]
+    score = "(CAST({scale} AS DECIMAL(38,0)) * CAST(a AS DECIMAL(19,0))) DIV (CAST(l{k} AS DECIMAL(20,0)) + CAST(r{k} AS DECIMAL(20,0)))"
+    cuts = ", ".join(f"struct({score.format(scale=SCALE, k=k)} AS score, {k} AS k, l{k} AS l, r{k} AS r)" for k in range(1, LONGEST))
+    cut = F.expr(f"array_min(filter(array({cuts}), x -> x.score IS NOT NULL))")
+    return rows.groupBy("lang", "phrase", "a").agg(*counts).withColumn("cut", cut).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
 
 def absorbed(found: DataFrame) -> DataFrame:
@@ -450,7 +462,7 @@ def mine(
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     filters = {}
     for k in range(2, LONGEST + 1):
-        filters[k] = filter_of(frequent_hashes(texts, k, filters.get(k - 1), least, at_once), F.col("h"))
+        filters[k] = filter_of(frequent_hashes(texts, k, filters.get(k - 1), least, at_once))
     names = written(frequent_phrases(texts, filters, least, at_once), "phrases-found")
     found = names.where("phrase is not null").withColumn("words", F.size(F.split("phrase", " ")))
     kept = best_cuts(found).join(absorbed(found), ["lang", "phrase"], "left_anti")
