@@ -239,49 +239,64 @@ def spelled(words: Words, k: int, filters: dict) -> tuple[np.ndarray, np.ndarray
     return at[first], h[first], np.diff(np.append(first, len(h)))
 
 
+def sent(tables: list[pa.Table], langs: list[str], at_once: int):
+    """Phrases (lang, phrase, words, h, n) with the counts of equal ones added up, packed by language and bucket."""
+    sums = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("words", "min"), ("h", "min"), ("n", "sum")])
+    lang, words, h, n = (sums[x].to_numpy() for x in ("lang", "words_min", "h_min", "n_sum"))
+    order = np.lexsort((h, lang))
+    for start in range(0, len(order), at_once):
+        i = order[start : start + at_once]
+        phrase = sums["phrase"].combine_chunks().take(pa.array(i))
+        ends = np.frombuffer(phrase.buffers()[1], np.int64)[: len(i) + 1]
+        bucket = buckets_of(h[i])
+        cuts = np.append(runs(lang[i], bucket), len(i))
+        total = np.add.reduceat(np.where(words[i] == 1, n[i], 0), cuts[:-1])
+        letters = packed(np.frombuffer(phrase.buffers()[2], np.uint8)[: ends[-1]], ends[cuts])
+        columns = [pa.array(bucket[cuts[:-1]]), pa.array(langs, pa.string()).take(pa.array(lang[i][cuts[:-1]])), pa.array(total), letters]
+        columns += [packed(np.diff(ends).astype(np.int32), cuts), packed(n[i].astype(np.uint32), cuts)]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "total", "letters", "sizes", "counts"])
+
+
 def frequent_phrases(texts: DataFrame, filters: dict, least: int, at_once: int) -> DataFrame:
     """(lang, phrase, f): phrases with the least count or more, counted exactly; with phrase null, parts of a language's words.
 
-    Each block sends its words and the phrases that pass their level's filter, with their counts, packed by language and
-    bucket. A bucket adds up the counts of equal phrases.
+    A task sends its words and the phrases that pass their level's filter, with their counts, packed by language and
+    bucket; it adds up some blocks before, until they have four times at_once. A bucket adds up the counts of equal phrases.
     """
 
     def count(batches):
+        codes: dict[str, int] = {}
+        held, size = [], 0
         for words in read_words(batches):
-            langs = pa.array(words.langs, pa.string())
+            code = np.array([codes.setdefault(x, len(codes)) for x in words.langs], np.int32)
             for k in range(1, LONGEST + 1):
-                every = spelled(words, k, filters)
-                for start in range(0, len(every[0]), at_once):
-                    at, h, n = (x[start : start + at_once] for x in every)
-                    lang, bucket = words.lang[at], buckets_of(h)
-                    order = np.argsort(lang, kind="stable")  # h is in order
-                    at, n, lang, bucket = at[order], n[order], lang[order], bucket[order]
-                    phrases = words.phrases(at, k)
-                    ends = np.frombuffer(phrases.buffers()[1], np.int32)[: len(at) + 1]
-                    cuts = np.append(runs(lang, bucket), len(at))
-                    letters = packed(np.frombuffer(phrases.buffers()[2], np.uint8)[: ends[-1]], ends[cuts])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(bucket[cuts[:-1]]), langs.take(pa.array(lang[cuts[:-1]])), pa.array(np.full(len(cuts) - 1, k, np.int32)),
-                        letters, packed(np.diff(ends), cuts), packed(n.astype(np.uint32), cuts),
-                    ], names=["bucket", "lang", "words", "letters", "sizes", "counts"])
+                at, h, n = spelled(words, k, filters)
+                phrase = words.phrases(at, k).cast(pa.large_binary())
+                held.append(pa.table({"lang": code[words.lang[at]], "phrase": phrase, "words": np.full(len(at), k, np.int32), "h": h, "n": n}))
+                size += len(at)
+            if size >= 4 * at_once:
+                yield from sent(held, [*codes], at_once)
+                held, size = [], 0
+        if held:
+            yield from sent(held, [*codes], at_once)
 
     def add(batches):
         for held in whole_buckets(batches):
-            sizes = [unpacked(x.column("sizes"), np.int32) for x in held]
-            ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.concatenate([unpacked(x.column("sizes"), np.int32) for x in held])))).astype(np.int64)
             letters = np.concatenate([unpacked(x.column("letters"), np.uint8) for x in held])
             phrase = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)])
             n = np.concatenate([unpacked(x.column("counts"), np.uint32) for x in held]).astype(np.int64)
-            of = np.repeat(np.arange(sum(len(x) for x in held)), np.concatenate([lengths(x.column("sizes")) for x in held]))
             names = pa.concat_arrays([x.column("lang") for x in held]).dictionary_encode()
-            lang, single = names.indices.to_numpy()[of], (np.concatenate([x.column("words").to_numpy() for x in held]) == 1)[of]
+            code, total = names.indices.to_numpy(), np.concatenate([x.column("total").to_numpy() for x in held])
+            lang = np.repeat(code, np.concatenate([lengths(x.column("sizes")) for x in held]))
             sums = pa.table({"lang": lang, "phrase": phrase, "f": n}).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
-            lang_of, phrase, f = (x.combine_chunks() for x in sums.filter(pc.greater_equal(sums["f_sum"], least)).select(["lang", "phrase", "f_sum"]).columns)
-            each = np.bincount(lang[single], n[single], len(names.dictionary)).astype(np.int64)
-            for columns in ([names.dictionary.take(lang_of), phrase.cast(pa.binary()).cast(pa.string()), f], [names.dictionary, pa.nulls(len(each), pa.string()), pa.array(each)]):
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
+            lang, phrase, f = (x.combine_chunks() for x in sums.filter(pc.greater_equal(sums["f_sum"], least)).select(["lang", "phrase", "f_sum"]).columns)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(lang), phrase.cast(pa.binary()).cast(pa.string()), f], names=["lang", "phrase", "f"])
+            each = np.zeros(len(names.dictionary), np.int64)
+            np.add.at(each, code, total)
+            yield pa.RecordBatch.from_arrays([names.dictionary, pa.nulls(len(each), pa.string()), pa.array(each)], names=["lang", "phrase", "f"])
 
-    rows = texts.mapInArrow(count, "bucket int, lang string, words int, letters binary, sizes binary, counts binary")
+    rows = texts.mapInArrow(count, "bucket int, lang string, total long, letters binary, sizes binary, counts binary")
     return dealt(rows).mapInArrow(add, "lang string, phrase string, f long")
 
 
@@ -415,14 +430,14 @@ def counted(texts: DataFrame, phrases: DataFrame, at_once: int) -> DataFrame:
 
 def parts_of(phrase: str, first: str, size: str) -> str:
     """SQL of the words of a phrase from `first` (0 is the first one), `size` of them."""
-    return f"array_join(slice(split({phrase}, ' '), {first} + 1, {size}), ' ')"
+    return f"substring_index(substring_index({phrase}, ' ', {first} + {size}), ' ', -({size}))"
 
 
 def best_cuts(found: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, score) of phrases of two words or more: the cut with the lowest score, then the first."""
-    sides = F.expr(f"""flatten(transform(sequence(1, words - 1), k -> array(
-        struct(k, true AS head, {parts_of("phrase", "0", "k")} AS part), struct(k, false AS head, {parts_of("phrase", "k", "words - k")} AS part))))""")
-    rows = found.where("words > 1").select("lang", "phrase", F.col("f").alias("a"), F.inline(sides))
+    rows = found.where("words > 1").select("lang", "phrase", F.col("f").alias("a"), "words", F.expr("explode(sequence(1, words - 1)) AS k"))
+    sides = F.expr(f"array(struct(true AS head, {parts_of('phrase', '0', 'k')} AS part), struct(false AS head, {parts_of('phrase', 'k', '(words - k)')} AS part))")
+    rows = rows.select("lang", "phrase", "a", "k", F.inline(sides))
     # a word may begin or end a large share of all phrases, so its rows are dealt
     rows = join_dealt(rows, found.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"], "phrase")
     counts = [F.max(F.when((F.col("k") == k) & (F.col("head") == head), F.col("f"))).alias(f"{name}{k}") for k in range(1, LONGEST) for name, head in (("l", True), ("r", False))]
